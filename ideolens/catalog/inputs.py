@@ -15,9 +15,10 @@ from ..operators import votes as V
 from ..sources import fixtures as fx
 
 
-def round_doubles(df: DataFrame, digits: int = 4) -> DataFrame:
-    """Round every double column (the oracle rounds the same columns)."""
-    return df.select([F.round(F.col(f.name), digits).alias(f.name)
+def round_doubles(df: DataFrame, digits: int = 4, **special: int) -> DataFrame:
+    """Round every double column (the oracle rounds the same columns);
+    ``special`` gives other digit counts per column."""
+    return df.select([F.round(F.col(f.name), special.get(f.name, digits)).alias(f.name)
                       if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
                       for f in df.schema.fields])
 

@@ -23,3 +23,209 @@ def external_candidates(ext: DataFrame, cycle: int | None = 2020, sep: str = "_"
                      ["office", "district", "candidate"], ["cfscore"])
     district = tx.pad_left("district", pad_width) if pad_width else F.col("district")
     return df.select(tx.str_c(F.col("office"), district, sep=sep).alias("race"), "candidate", "cfscore")
+
+
+def external_scores(ext: DataFrame, votes_races: DataFrame, cycle: int | None = 2020,
+                    sep: str = "_", min_scored: int = 2) -> DataFrame:
+    """External candidate scores: z-scored over the cycle's scored rows
+    (proper ``(x - mean) / sd``), one row per candidate, restricted to races that
+    appear in the votes and have at least ``min_scored`` scored candidates."""
+    from ..operators.relational import group_size_filter, zscore
+    df = ext
+    if cycle is not None:
+        df = df.where(F.col("cycle") == cycle)
+    df = zscore(df.where(F.col("cfscore").isNotNull()), "cfscore", "dime_score")
+    cands = distinct_on(df.select("office", "district", "candidate", "cfscore", "dime_score"),
+                        ["office", "district", "candidate"], ["cfscore", "dime_score"])
+    cands = cands.select(tx.str_c(F.col("office"), F.col("district"), sep=sep).alias("race"),
+                         "candidate", "cfscore", "dime_score")
+    cands = cands.join(votes_races.select("race").distinct(), "race", "left_semi")
+    return group_size_filter(cands, ["race"], ">=", min_scored)
+
+
+def voter_scores(draws: DataFrame, variable: str = "alpha", orient: int = 1) -> DataFrame:
+    """Per voter posterior mean (times ``orient``, -1 flips the scale) and
+    precision 1 / var."""
+    return draws.where(F.col("variable") == variable).groupBy(F.col("idx").alias("voter_id")).agg(
+        (F.lit(float(orient)) * F.avg("value")).alias("mean"),
+        (F.lit(1.0) / F.var_samp("value")).alias("precision"))
+
+
+def candidate_scores(scores: DataFrame, choices: DataFrame, min_voters: int = 5,
+                     standardise: bool = True) -> DataFrame:
+    """Precision-weighted mean voter score of each (race, candidate)'s
+    choosers; candidates (by name) with fewer than ``min_voters`` joined rows are
+    dropped; scores z-scored over candidates."""
+    from ..operators.relational import group_size_filter, zscore
+    joined = scores.join(choices.select("voter_id", "race", "candidate"), "voter_id") \
+                   .where(F.col("candidate").isNotNull())
+    kept = group_size_filter(joined, ["candidate"], ">=", min_voters)
+    out = kept.groupBy("race", "candidate").agg(
+        (F.sum(F.col("mean") * F.col("precision")) / F.sum("precision")).alias("bayes_ideal"),
+        F.count(F.lit(1)).alias("n_voters"))
+    return zscore(out, "bayes_ideal") if standardise else out
+
+
+def scores_by_choice(scores: DataFrame, voter_choice: DataFrame, main=(), min_other: int = 5) -> DataFrame:
+    """Voter scores beside their choice in one office; ``group`` is 'main'
+    for the listed candidates, otherwise 'other' (others need more than
+    ``min_other`` voters)."""
+    from ..operators.relational import group_size_filter
+    j = scores.join(voter_choice.select("voter_id", "choice"), "voter_id").where(F.col("choice").isNotNull())
+    is_main = F.col("choice").isin(list(main)) if main else F.lit(False)
+    mains = j.where(is_main).withColumn("group", F.lit("main"))
+    others = group_size_filter(j.where(~is_main), ["choice"], ">", min_other).withColumn("group", F.lit("other"))
+    return mains.unionByName(others)
+
+
+def weighted_density(df: DataFrame, group_col: str, value_col: str = "mean", weight_col: str = "precision",
+                     grid: int = 64) -> DataFrame:
+    """Weighted Gaussian kernel density of ``value_col`` on a ``grid``-point
+    grid per group.  Bandwidth 1.06 sd n^(-1/5) (normal reference); the grid spans
+    the group's range +- 3 bandwidths.  Each row fans out to the grid points
+    (fixed fan-out) and feeds a partial aggregate; no pairs of rows are formed."""
+    stats = df.groupBy(group_col).agg(
+        F.min(value_col).alias("_lo"), F.max(value_col).alias("_hi"),
+        F.stddev_samp(value_col).alias("_sd"), F.count(F.lit(1)).alias("_n"),
+        F.sum(weight_col).alias("_wsum"))
+    stats = stats.withColumn("_bw", F.lit(1.06) * F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))) \
+                 .where(F.col("_bw") > 0)
+    j = df.join(stats, group_col)
+    start = F.col("_lo") - 3 * F.col("_bw")
+    step = (F.col("_hi") - F.col("_lo") + 6 * F.col("_bw")) / F.lit(grid - 1)
+    ex = j.select(group_col, value_col, weight_col, "_bw", "_wsum", start.alias("_start"), step.alias("_step"),
+                  F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("g"))
+    x = F.col("_start") + F.col("g") * F.col("_step")
+    z = (x - F.col(value_col)) / F.col("_bw")
+    k = F.col(weight_col) * F.exp(-0.5 * z * z) / (F.col("_bw") * F.col("_wsum") * F.lit(2.5066282746310002))
+    return ex.groupBy(group_col, "g").agg(F.first(x).alias("x"), F.sum(k).alias("density"))
+
+
+def race_parameter_table(draws: DataFrame, flat_ids: DataFrame) -> DataFrame:
+    """Mean and sd of difficulty (beta) and discrimination (gamma) draws per
+    race, race names title-cased with a leading 'Us' written 'US'."""
+    j = draws.where(F.col("variable").isin("beta", "gamma")) \
+             .join(flat_ids.select("race", F.col("param_idx").alias("idx")), "idx")
+    out = j.groupBy("race").agg(
+        F.avg(F.when(F.col("variable") == "beta", F.col("value"))).alias("mean_beta"),
+        F.stddev_samp(F.when(F.col("variable") == "beta", F.col("value"))).alias("sd_beta"),
+        F.avg(F.when(F.col("variable") == "gamma", F.col("value"))).alias("mean_gamma"),
+        F.stddev_samp(F.when(F.col("variable") == "gamma", F.col("value"))).alias("sd_gamma"))
+    return out.withColumn("race", F.regexp_replace(tx.title_case("race"), "^Us", "US"))
+
+
+def candidate_party(data: DataFrame) -> DataFrame:
+    """One party label per (race, candidate): 'democrat' if any row says so,
+    otherwise the smallest label."""
+    return data.groupBy("race", "candidate").agg(
+        F.when(F.max(F.col("party") == "democrat"), F.lit("democrat")).otherwise(F.min("party")).alias("party"))
+
+
+def discrimination_by_type(draws: DataFrame, flat_ids: DataFrame, parties: DataFrame,
+                           type_pattern: str = "_.*$") -> DataFrame:
+    """|discrimination| by partisan / non-partisan contest and race type
+    (race name with the district part removed); candidates whose mean
+    discrimination is exactly 0 (reference candidates) are dropped."""
+    from .diagnostics import interval_summary
+    g = draws.where(F.col("variable") == "gamma") \
+             .join(flat_ids.select("race", "candidate", F.col("param_idx").alias("idx")), "idx")
+    nonzero = g.groupBy("race", "candidate").agg(F.avg("value").alias("_m")).where(F.col("_m") != 0)
+    g = g.join(nonzero.select("race", "candidate"), ["race", "candidate"], "left_semi") \
+         .join(parties, ["race", "candidate"], "left")
+    partisan = F.when(F.col("party").isNull(), F.lit("UNKNOWN")) \
+                .when(F.col("party").rlike(tx.NONPARTISAN_PATTERN), F.lit("NONPARTISAN")) \
+                .otherwise(F.lit("PARTISAN"))
+    g = g.withColumn("partisan", partisan) \
+         .withColumn("race_type", F.regexp_replace("race", type_pattern, "")) \
+         .withColumn("abs_gamma", F.abs("value"))
+    return interval_summary(g, ["partisan", "race_type"], "abs_gamma")
+
+
+def district_scores(draws: DataFrame, choices: DataFrame, office: str, districts: DataFrame,
+                    district_key: str = "District_1") -> DataFrame:
+    """Mean voter score per district of one office's voters, joined to a
+    district attribute table whose key column has another name."""
+    res = draws.where(F.col("variable") == "alpha") \
+               .join(choices.where((F.col("office") == office) & F.col("district").isNotNull())
+                     .select(F.col("voter_id").alias("idx"), "district"), "idx")
+    summ = res.groupBy("district").agg(F.avg("value").alias("ideal_mean"), F.count(F.lit(1)).alias("n_draws"))
+    attrs = districts.join(summ.select(F.col("district").alias(district_key)), district_key, "left_semi")
+    return attrs.join(summ, F.col(district_key) == F.col("district"), "left").drop("district")
+
+
+def compare_fits(fit_a: DataFrame, fit_b: DataFrame, exclude_pattern: str = r"^lp|raw|\.") -> DataFrame:
+    """Per parameter the two fits' values (a = posterior means, b = a single
+    draw or another fit's means), typed by variable and min-max rescaled per type."""
+    from ..operators.relational import rescale01
+    a = fit_a.groupBy("variable", "idx").agg(F.avg("value").alias("value_x"))
+    b = fit_b.groupBy("variable", "idx").agg(F.avg("value").alias("value_y"))
+    j = a.join(b, ["variable", "idx"], "left").where(~F.col("variable").rlike(exclude_pattern))
+    j = j.withColumn("type", F.col("variable"))
+    return rescale01(j, ["value_x", "value_y"], ["type"])
+
+
+def fits_correlation(fit_a: DataFrame, fit_b: DataFrame, exclude_pattern: str = r"^lp|raw|\.") -> DataFrame:
+    """Pearson correlation of the two fits' parameter values."""
+    a = fit_a.groupBy("variable", "idx").agg(F.avg("value").alias("value_x"))
+    b = fit_b.groupBy("variable", "idx").agg(F.avg("value").alias("value_y"))
+    j = a.join(b, ["variable", "idx"]).where(~F.col("variable").rlike(exclude_pattern))
+    return j.agg(F.corr("value_x", "value_y").alias("correlation"), F.count(F.lit(1)).alias("n"))
+
+
+def voters_vs_external(draws: DataFrame, ext_scores: DataFrame, choices: DataFrame) -> DataFrame:
+    """Draws of each scored candidate's choosers (alpha divided by the sd of
+    all alpha draws) beside the candidate's external score."""
+    from ..operators.relational import zscore
+    alpha = draws.where(F.col("variable") == "alpha").select("draw", F.col("idx").alias("voter_id"), "value")
+    from ..session import scalar_row
+    sd = scalar_row(alpha, F.stddev_samp("value").alias("s"))["s"]
+    pick = ext_scores.join(choices.select("race", "candidate", "voter_id"), ["race", "candidate"])
+    return pick.join(alpha, "voter_id").select(
+        "race", "candidate", "dime_score", "voter_id", "draw", (F.col("value") / F.lit(sd)).alias("alpha"))
+
+
+def scored_candidates(ext_scores: DataFrame, cand_scores: DataFrame) -> DataFrame:
+    """Candidates with both an external score (``dime_ideal``) and a model score."""
+    return ext_scores.select("race", "candidate", F.col("cfscore").alias("dime_ideal")) \
+        .join(cand_scores.select("race", "candidate", "bayes_ideal"), ["race", "candidate"])
+
+
+def cutpoints(scored: DataFrame) -> DataFrame:
+    """Midpoints of every pair of scored candidates of the same race on both
+    scales, deduplicated.  A race's scored candidates are a handful (bounded by
+    the ballot), so the pairs stay within that contest's short list."""
+    a = scored.select("race", F.col("candidate").alias("c1"), F.col("bayes_ideal").alias("b1"),
+                      F.col("dime_ideal").alias("d1"))
+    b = scored.select("race", F.col("candidate").alias("c2"), F.col("bayes_ideal").alias("b2"),
+                      F.col("dime_ideal").alias("d2"))
+    pairs = a.join(b, "race").where(F.col("c1") < F.col("c2"))
+    return pairs.select("race", ((F.col("b1") + F.col("b2")) / 2).alias("cut_bayes"),
+                        ((F.col("d1") + F.col("d2")) / 2).alias("cut_dime")).distinct()
+
+
+def cutpoint_correlation(scored: DataFrame, same_race: bool = True) -> DataFrame:
+    """Pearson correlation of the cutpoints over all unordered candidate
+    pairs, computed from per-race moment sums without forming the pairs:
+    for n candidates with scores x, y the pair midpoints satisfy
+    sum a = (n-1)/2 sum x, sum a^2 = ((n-2) sum x^2 + (sum x)^2)/4,
+    sum ab = ((n-2) sum xy + sum x sum y)/4, count = n(n-1)/2.
+    ``same_race=False`` pools every candidate into one group (the reference's
+    cross-race pairs)."""
+    g = scored.withColumn("_g", F.col("race") if same_race else F.lit("all"))
+    per = g.groupBy("_g").agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.sum("bayes_ideal").alias("sx"),
+        F.sum("dime_ideal").alias("sy"), F.sum(F.col("bayes_ideal") ** 2).alias("sxx"),
+        F.sum(F.col("dime_ideal") ** 2).alias("syy"),
+        F.sum(F.col("bayes_ideal") * F.col("dime_ideal")).alias("sxy"))
+    n = F.col("n")
+    m = per.select(
+        (n * (n - 1) / 2).alias("k"), ((n - 1) / 2 * F.col("sx")).alias("a"), ((n - 1) / 2 * F.col("sy")).alias("b"),
+        (((n - 2) * F.col("sxx") + F.col("sx") ** 2) / 4).alias("aa"),
+        (((n - 2) * F.col("syy") + F.col("sy") ** 2) / 4).alias("bb"),
+        (((n - 2) * F.col("sxy") + F.col("sx") * F.col("sy")) / 4).alias("ab"))
+    t = m.agg(*[F.sum(c).alias(c) for c in ("k", "a", "b", "aa", "bb", "ab")])
+    k = F.col("k")
+    cov = F.col("ab") - F.col("a") * F.col("b") / k
+    vx = F.col("aa") - F.col("a") ** 2 / k
+    vy = F.col("bb") - F.col("b") ** 2 / k
+    return t.select((cov / F.sqrt(vx * vy)).alias("correlation"), k.cast("long").alias("n_pairs"))
