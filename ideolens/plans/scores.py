@@ -228,4 +228,5 @@ def cutpoint_correlation(scored: DataFrame, same_race: bool = True) -> DataFrame
     cov = F.col("ab") - F.col("a") * F.col("b") / k
     vx = F.col("aa") - F.col("a") ** 2 / k
     vy = F.col("bb") - F.col("b") ** 2 / k
-    return t.select((cov / F.sqrt(vx * vy)).alias("correlation"), k.cast("long").alias("n_pairs"))
+    return t.select((cov / F.sqrt(vx * vy)).alias("correlation"),
+                    F.coalesce(k, F.lit(0.0)).cast("long").alias("n_pairs"))
