@@ -91,8 +91,11 @@ def get_votes(cvr: DataFrame, compare: DataFrame | None, state: str | None,
     small = small_candidates(sampled, min_votes)
     races = contested_races(base, small)
     if partisan_only:
-        races = races.join(partisan_races(base), "race", "inner")
-    return sampled.join(races, "race", "inner").select(OUTPUT_COLUMNS)
+        races = races.join(partisan_races(base), "race", "left_semi")
+    # races is the contest dimension: a semi join keeps the vote rows where they
+    # are (AQE broadcasts it from its runtime size; otherwise the skew-join split
+    # cuts a statewide contest into several tasks)
+    return sampled.join(races, "race", "left_semi").select(OUTPUT_COLUMNS)
 
 
 def filter_county(data: DataFrame, county: str, min_votes: int = 10) -> DataFrame:
