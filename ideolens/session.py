@@ -67,11 +67,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     The frame is persisted first so that the eager checkpoint computes it once
     (the count fills the cache, the checkpoint files are written from it); the
-    cache is dropped once the files exist.  The result keeps the frame's
-    partitioning, so voter-partitioned state stays co-partitioned."""
-    ensure_checkpoint_dir(df.sparkSession)
-    df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = df.checkpoint(eager=True)
+    cache is dropped once the files exist.
+
+    The result must keep the frame's hash partitioning (voter-partitioned
+    state stays co-partitioned with the votes, so later joins and per-voter
+    aggregates need no shuffle).  An adaptive plan reports its partitioning as
+    unknown to ``checkpoint``, so the checkpointed plan is built with AQE off;
+    the frames cut here are iteration state whose joins are co-partitioned or
+    size-checked broadcasts, so nothing is lost by planning them statically."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    prev = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df.persist(StorageLevel.MEMORY_AND_DISK)
+        out = df.checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", prev)
     df.unpersist(blocking=False)
     return out
 
