@@ -10,16 +10,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _beside(u: Column, scalar: Column) -> Column:
+    """``scalar`` repeated once per element of ``u``.  A lambda body is evaluated
+    per element with no common-subexpression sharing, so a per-row scalar
+    (an array max, a log-sum-exp) is computed once here and zipped in instead
+    of being referenced inside the lambda, which would recompute it (and the
+    utilities under it) for every element."""
+    return F.array_repeat(scalar, F.size(u))
+
+
 def log_sum_exp(u: Column) -> Column:
     """max-shifted log(sum(exp(u))) of a double array."""
     m = F.array_max(u)
-    return m + F.log(F.aggregate(u, F.lit(0.0), lambda acc, x: acc + F.exp(x - m)))
+    shifted = F.zip_with(u, _beside(u, m), lambda x, mx: F.exp(x - mx))
+    return m + F.log(F.aggregate(shifted, F.lit(0.0), lambda acc, x: acc + x))
 
 
 def softmax(u: Column) -> Column:
     """probabilities of a utility array."""
-    lse = log_sum_exp(u)
-    return F.transform(u, lambda x: F.exp(x - lse))
+    return F.zip_with(u, _beside(u, log_sum_exp(u)), lambda x, lse: F.exp(x - lse))
 
 
 def dot(a: Column, b: Column) -> Column:
