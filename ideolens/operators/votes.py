@@ -139,7 +139,10 @@ def party_delta(data: DataFrame, reference_office: str | None = None, key=VOTER_
     and the race maximum.  A voter's side is the party of their choice in the
     reference office (default: the office with the most rows)."""
     if reference_office is None:
-        ref_rows = data.join(largest_office(data), "office", "left_semi")
+        # at most one row (row_number = 1), so the broadcast size is fixed; a shuffle
+        # join on ``office`` would put the largest office, by definition the
+        # hottest key, in one task
+        ref_rows = data.join(F.broadcast(largest_office(data)), "office", "left_semi")
     else:
         ref_rows = data.where(F.col("office") == F.lit(reference_office))
     side = (ref_rows.groupBy(*key)
