@@ -63,7 +63,12 @@ def candidate_scores(scores: DataFrame, choices: DataFrame, min_voters: int = 5,
     out = kept.groupBy("race", "candidate").agg(
         (F.sum(F.col("mean") * F.col("precision")) / F.sum("precision")).alias("bayes_ideal"),
         F.count(F.lit(1)).alias("n_voters"))
-    return zscore(out, "bayes_ideal") if standardise else out
+    if not standardise:
+        return out
+    # one row per candidate: written once to the checkpoint folder so the z-score's
+    # two numbers and the result read it instead of re-running the voter joins
+    from ..session import cut_lineage
+    return zscore(cut_lineage(out, keep_partitioning=False), "bayes_ideal")
 
 
 def scores_by_choice(scores: DataFrame, voter_choice: DataFrame, main=(), min_other: int = 5) -> DataFrame:

@@ -62,7 +62,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, keep_partitioning: bool = True) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss).
 
     The frame is persisted first so that the eager checkpoint computes it once
@@ -74,11 +74,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     aggregates need no shuffle).  An adaptive plan reports its partitioning as
     unknown to ``checkpoint``, so the checkpointed plan is built with AQE off;
     the frames cut here are iteration state whose joins are co-partitioned or
-    size-checked broadcasts, so nothing is lost by planning them statically."""
+    size-checked broadcasts, so nothing is lost by planning them statically.
+    ``keep_partitioning=False`` keeps AQE (runtime broadcast and skew handling)
+    for frames whose layout does not matter afterwards."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     prev = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    if keep_partitioning:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         df.persist(StorageLevel.MEMORY_AND_DISK)
         out = df.checkpoint(eager=True)
