@@ -71,6 +71,38 @@ def dense_ids(df: DataFrame, order_cols, id_col: str = "id", partitions: int | N
               .drop("_pid", "_local", "_off")
 
 
+def group_quantiles(df: DataFrame, by, value_col: str, probs: dict) -> DataFrame:
+    """Exact quantiles (linear interpolation, R type 7, as Spark's
+    ``percentile``) of ``value_col`` per group; ``probs`` maps output column
+    names to probabilities.  One row per group with at least one non-NULL value.
+
+    ``percentile`` merges every value of a group in one task, which is only safe
+    for bounded groups (one parameter's draws).  Here the rows are numbered in
+    (group, value) order by ``dense_ids`` (range partitioning, so a hot group is
+    cut across partitions), each group's first id and size come from a partial
+    aggregate, and only the one or two rows at each wanted rank are joined back
+    (the join key includes the unique id, so it is not skewed).  Ties get
+    arbitrary relative ids, which does not change the value at any rank."""
+    by = list(by)
+    vals = df.select(*by, F.col(value_col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    ranked = dense_ids(vals, by + ["_v"], "_id")
+    stats = ranked.groupBy(*by).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    wanted = F.array(*[F.struct(F.lit(name).alias("q"), F.lit(float(pr)).alias("p")) for name, pr in probs.items()])
+    t = stats.select(*by, "_first", "_n", F.explode(wanted).alias("_t"))
+    t = t.select(*by, "_first", F.col("_t.q").alias("_q"),
+                 ((F.col("_n") - 1).cast("double") * F.col("_t.p")).alias("_h"))
+    t = t.withColumn("_lo", F.floor("_h").cast("long")).withColumn("_hi", F.ceil("_h").cast("long"))
+    t = t.withColumn("_pos", F.explode(F.array_distinct(F.array("_lo", "_hi")))) \
+         .withColumn("_id", F.col("_first") + F.col("_pos"))
+    picked = ranked.join(t, by + ["_id"])
+    per_q = picked.groupBy(*by, "_q", "_h", "_lo", "_hi").agg(
+        F.max(F.when(F.col("_pos") == F.col("_lo"), F.col("_v"))).alias("_vlo"),
+        F.max(F.when(F.col("_pos") == F.col("_hi"), F.col("_v"))).alias("_vhi"))
+    val = (F.when((F.col("_lo") == F.col("_hi")) | (F.col("_vlo") == F.col("_vhi")), F.col("_vlo"))
+            .otherwise((F.col("_hi") - F.col("_h")) * F.col("_vlo") + (F.col("_h") - F.col("_lo")) * F.col("_vhi")))
+    return per_q.groupBy(*by).agg(*[F.max(F.when(F.col("_q") == name, val)).alias(name) for name in probs])
+
+
 def zscore(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     """Global z-score with the sample sd (one aggregate job, two numbers to the driver)."""
     row = scalar_row(df, F.avg(col).alias("m"), F.stddev_samp(col).alias("s"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .draws import DRAW_KEYS
+from ..operators.relational import group_quantiles
 from ..operators.sampling import sample_global
 
 PARAM_KEYS = ["variable", "idx"]
@@ -62,30 +63,34 @@ def rhat_table(rhats: DataFrame, type_col: str = "variable") -> DataFrame:
     """Mean / median / max / sd of R-hat per model (or variable) type and the
     share below 1.1 (NULL R-hats dropped)."""
     r = rhats.where(F.col("rhat").isNotNull())
-    return r.groupBy(type_col).agg(
-        F.avg("rhat").alias("mean"), F.percentile("rhat", 0.5).alias("median"),
-        F.max("rhat").alias("max"), F.stddev_samp("rhat").alias("sd"),
+    # a type (e.g. every voter's alpha) is not bounded: exact median by ranks
+    med = group_quantiles(r, [type_col], "rhat", {"median": 0.5})
+    agg = r.groupBy(type_col).agg(
+        F.avg("rhat").alias("mean"), F.max("rhat").alias("max"), F.stddev_samp("rhat").alias("sd"),
         (F.sum(F.when(F.col("rhat") < 1.1, 1).otherwise(0)) / F.count(F.lit(1))).alias("share_below_1_1"))
+    return agg.join(med, type_col).select(type_col, "mean", "median", "max", "sd", "share_below_1_1")
 
 
 def box_summary(rhats: DataFrame, type_col: str = "variable") -> DataFrame:
     """Quartiles and range of R-hat per type."""
     r = rhats.where(F.col("rhat").isNotNull())
-    return r.groupBy(type_col).agg(
-        F.min("rhat").alias("min"), F.percentile("rhat", 0.25).alias("q1"),
-        F.percentile("rhat", 0.5).alias("median"), F.percentile("rhat", 0.75).alias("q3"),
-        F.max("rhat").alias("max"))
+    qs = group_quantiles(r, [type_col], "rhat", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    ext = r.groupBy(type_col).agg(F.min("rhat").alias("min"), F.max("rhat").alias("max"))
+    return ext.join(qs, type_col).select(type_col, "min", "q1", "median", "q3", "max")
 
 
 def interval_summary(draws: DataFrame, by=PARAM_KEYS, value_col: str = "value") -> DataFrame:
     """Median with 66% and 95% central intervals per group."""
     by = list(by)
     v = F.col(value_col)
-    return draws.groupBy(*by).agg(
-        F.percentile(v, 0.5).alias("median"),
-        F.percentile(v, 0.17).alias("lower66"), F.percentile(v, 0.83).alias("upper66"),
-        F.percentile(v, 0.025).alias("lower95"), F.percentile(v, 0.975).alias("upper95"),
-        F.count(F.lit(1)).alias("n"))
+    probs = {"median": 0.5, "lower66": 0.17, "upper66": 0.83, "lower95": 0.025, "upper95": 0.975}
+    if set(PARAM_KEYS) <= set(by):
+        # one parameter's draws: bounded by the sampler settings
+        return draws.groupBy(*by).agg(*[F.percentile(v, p).alias(k) for k, p in probs.items()],
+                                      F.count(F.lit(1)).alias("n"))
+    # other groupings (e.g. all voters of one choice) are unbounded: exact ranks
+    n = draws.where(v.isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    return group_quantiles(draws, by, value_col, probs).join(n, by).select(*by, *probs, "n")
 
 
 def trace_table(draws: DataFrame, n: int = 24, seed=2139, threshold: float = 0.1,

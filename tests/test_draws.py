@@ -82,3 +82,20 @@ def test_draws_from_wide_parses_indices(spark):
 def test_standin_draws_figure(spark, sf_small):
     r = fx.draws(spark, sf_small).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("s")).first()
     assert r.n == 32000 and round(r.s, 4) == -33.0991
+
+
+def test_group_quantiles_match_numpy_on_skewed_ties(spark):
+    from ideolens.operators.relational import group_quantiles
+    rng = np.random.default_rng(11)
+    big = np.round(rng.standard_normal(3000), 1)          # one hot group with many ties
+    small = np.array([2.0])                                # a single-row group
+    mid = rng.standard_normal(7)
+    rows = [("big", float(v)) for v in big] + [("one", 2.0)] + [("mid", float(v)) for v in mid] + [("mid", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    probs = {"q05": 0.05, "q25": 0.25, "median": 0.5, "q83": 0.83, "q975": 0.975}
+    got = {r.g: r for r in group_quantiles(df, ["g"], "v", probs).collect()}
+    exact = {r.g: r for r in df.groupBy("g").agg(*[F.percentile("v", p).alias(k) for k, p in probs.items()]).collect()}
+    for g, data in (("big", big), ("one", small), ("mid", mid)):
+        for k, p in probs.items():
+            assert abs(got[g][k] - np.quantile(data, p)) < 1e-12, (g, k)
+            assert abs(got[g][k] - exact[g][k]) < 1e-12, (g, k)
