@@ -89,8 +89,8 @@ def interval_summary(draws: DataFrame, by=PARAM_KEYS, value_col: str = "value")
         return draws.groupBy(*by).agg(*[F.percentile(v, p).alias(k) for k, p in probs.items()],
                                       F.count(F.lit(1)).alias("n"))
     # other groupings (e.g. all voters of one choice) are unbounded: exact ranks
-    n = draws.where(v.isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    return group_quantiles(draws, by, value_col, probs).join(n, by).select(*by, *probs, "n")
+    n = draws.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    return n.join(group_quantiles(draws, by, value_col, probs), by, "left").select(*by, *probs, "n")
 
 
 def trace_table(draws: DataFrame, n: int = 24, seed=2139, threshold: float = 0.1,
