@@ -13,18 +13,30 @@ from pyspark.sql import functions as F
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app: str = "ideolens") -> SparkSession:
     """Session with AQE (runtime broadcast conversion, partition coalescing and
-    skew-join splitting) switched on.  On a cluster pass ``master=None`` and let
-    spark-submit decide; locally ``local[N]`` with N shuffle partitions."""
+    skew-join splitting) switched on.
+
+    On a cluster pass ``master=None``: the master, shuffle partition count and
+    memory come from spark-submit and are not overridden (size
+    ``spark.sql.shuffle.partitions`` for the data, e.g. a few thousand for
+    100 TB; AQE coalesces partitions that turn out small).  Without a configured
+    master the session runs ``local[N]`` with N shuffle partitions."""
     cpus = os.environ.get("BENCH_CPUS", "8")
+    # launched by spark-submit (it hands Python the gateway port), told a master
+    # by the environment, or joining a running session: keep that configuration
+    submitted = bool(os.environ.get("PYSPARK_GATEWAY_PORT") or os.environ.get("SPARK_MASTER")
+                     or SparkSession.getActiveSession() is not None)
+    on_cluster = master is None and submitted
     builder = SparkSession.builder.appName(app)
-    if master is None and not os.environ.get("SPARK_MASTER"):
+    if master is None and not on_cluster:
         master = f"local[{cpus}]"
     if master:
         builder = builder.master(master)
-    parts = shuffle_partitions or int(cpus)
+    if shuffle_partitions or not on_cluster:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus)))
+    if not on_cluster:
+        builder = builder.config("spark.driver.memory", os.environ.get("IDEOLENS_DRIVER_MEMORY", "16g"))
     builder = (
         builder
-        .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -32,7 +44,6 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", os.environ.get("IDEOLENS_DRIVER_MEMORY", "16g"))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
