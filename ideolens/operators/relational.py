@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import scalar_row
+from ..session import cut_lineage, scalar_row
 
 _OPS = {
     ">": lambda c, k: c > k, ">=": lambda c, k: c >= k, "<": lambda c, k: c < k,
@@ -52,14 +52,22 @@ def dense_ids(df: DataFrame, order_cols, id_col: str = "id", partitions: int | N
     Range partitioning splits the key space by sampled bounds (a hot county is cut
     across several partitions), each partition is sorted locally, and a partition's
     first id is the prefix sum of the earlier partitions' counts (a table with one
-    row per partition).  No window ever sees all rows."""
+    row per partition).  No window ever sees all rows.
+
+    The range bounds are sampled from the input in arrival order, which after a
+    shuffle is not fixed, so two evaluations can cut the key space differently.
+    The partitioned, locally numbered rows are therefore written once (reliable
+    checkpoint) and both the per-partition counts and the numbering read that
+    copy; otherwise a re-planned or recomputed branch could disagree on ids."""
     order_cols = list(order_cols)
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-                .withColumn("_pid", F.spark_partition_id())
-                .withColumn("_local", F.monotonically_increasing_id()
-                            - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
+    ranged = cut_lineage(
+        df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+          .withColumn("_pid", F.spark_partition_id())
+          .withColumn("_local", F.monotonically_increasing_id()
+                      - F.shiftleft(F.spark_partition_id().cast("long"), 33)),
+        keep_partitioning=False)
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     offsets = counts.select(
         "_pid",

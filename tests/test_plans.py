@@ -65,3 +65,20 @@ def test_softmax_has_one_utility_array_per_lambda(spark):
     expr = df.select(softmax(F.col("u"))).columns[0]
     inner = expr[expr.index("lambdafunction"):]
     assert "array_max" not in inner.split("lambdafunction")[1]
+
+
+def test_dense_ids_consistent_on_cached_shuffled_input(spark):
+    """Ids stay 1..N and unique when the input arrives from a shuffle and a cache
+    (range bounds sampled in arrival order must not differ between branches)."""
+    from ideolens.operators.relational import dense_ids
+    src = spark.range(20000).select((F.col("id") * 7919 % 20000).alias("k"), (F.col("id") % 13).alias("g"))
+    df = src.groupBy("g", "k").count().cache()
+    df.count()
+    ids = dense_ids(df, ["g", "k"], "id")
+    r = ids.agg(F.min("id").alias("lo"), F.max("id").alias("hi"),
+                F.countDistinct("id").alias("d"), F.count(F.lit(1)).alias("n")).first()
+    df.unpersist()
+    assert (r.lo, r.hi, r.d, r.n) == (1, 20000, 20000, 20000)
+    first = ids.orderBy("id").select("g", "k").limit(3).collect()
+    expected = sorted({(i % 13, i * 7919 % 20000) for i in range(20000)})[:3]
+    assert [(x.g, x.k) for x in first] == expected
