@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ideolens.llm import lines, mixing, oracles, simhash, toxicity, winnowing
+from ideolens.llm import lines, mixing, oracles, quality_bands, secret_scan, simhash, toxicity, winnowing
 from ideolens.llm.rows import table
 
 
@@ -28,11 +28,23 @@ def op4_drop_common_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+    base = secret_scan.describe(F.filter("spans", lambda x: x["kind"] < 3))
+    return found.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"),
+                        F.sha2(base.cast("binary"), 256).alias("base_sha256"), secret_scan.describe(F.col("spans")).alias("spans"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op9_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_bands.judge(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -44,7 +56,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = (op1_mix_sources, op3_decontaminate, op4_drop_common_lines, op8_toxicity, op10_simhash, pipeline)
+QUERIES = (op1_mix_sources, op3_decontaminate, op4_drop_common_lines, op5_secret_scan, op8_toxicity,
+           op9_quality_bands, op10_simhash, pipeline)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
