@@ -1,0 +1,193 @@
+"""Per-document sums of values that are looked up by token, without a row per token.
+
+Documents are taken in blocks.  A block gives one row per distinct token, with the packed
+list of the documents that hold it and how often; that row is joined with the table of
+values, and the sums per document are put together from the parts.  What is shuffled is a few
+bytes per distinct token of a document, however often it holds it.
+"""
+
+from __future__ import annotations
+
+import sys
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext, cloudpickle
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ideolens.llm import words as W
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: A block ends with the piece of text in which it reaches so many tokens or documents.
+BLOCK_TOKENS, BLOCK_DOCS = 4 << 20, 30_000
+#: Parts of sums that a task holds before it merges them, and hands them on if many are left.
+HELD = 4 << 20
+#: Documents whose columns travel in one row beside the postings.
+TOGETHER = 512
+
+
+def blocks(batches, tokens, column: int = 1):
+    """Yield per block: (its rows as record batches, document number and key of each token).
+    ``tokens``: from bytes and bounds of a piece to the text index and the key of its tokens."""
+    rows, owners, keys, n_docs, n_tokens = [], [], [], 0, 0
+    for batch in batches:
+        for at, end, data, bounds in W.pieces(batch.column(column), rows=BLOCK_DOCS):
+            owner, key = tokens(data, bounds)
+            rows.append(batch.slice(at, end - at))
+            owners.append(owner + n_docs)
+            keys.append(key)
+            n_docs += end - at
+            n_tokens += len(owner)
+            if n_tokens >= BLOCK_TOKENS or n_docs >= BLOCK_DOCS:
+                yield rows, np.concatenate(owners), np.concatenate(keys)
+                rows, owners, keys, n_docs, n_tokens = [], [], [], 0, 0
+    if rows:
+        yield rows, np.concatenate(owners), np.concatenate(keys)
+
+
+def runs(owner: np.ndarray, key: np.ndarray):
+    """Sorted distinct (key, owner) and how often each occurs; the owners of one key come in
+    their order."""
+    if len(key) and int(key.max()) < 1 << 46:
+        both = np.sort((key << np.uint64(17)) | owner.astype(np.uint64))
+        key, owner = both >> np.uint64(17), (both & np.uint64((1 << 17) - 1)).astype(np.int64)
+    else:
+        order = np.argsort(key, kind="stable")
+        key, owner = key[order], owner[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+    at = np.flatnonzero(new)
+    return key[at], owner[at], np.diff(np.concatenate((at, [len(key)])))
+
+
+def postings(docs: DataFrame, tokens, flag: str) -> DataFrame:
+    """Rows (key, block, packed) for the tokens of docs (doc_id, text and a boolean ``flag``),
+    and rows with a null packed that carry doc_id, number of tokens and flag of the documents.
+
+    packed has 7 bytes for each document: its number in the block (3) and the count (4)."""
+    def run(batches):
+        part, number = TaskContext.get().partitionId(), 0
+        for rows, owner, key in blocks(batches, tokens):
+            block = (part << 24) + number
+            number += 1
+            n_docs = sum(r.num_rows for r in rows)
+            size = np.bincount(owner, minlength=n_docs)
+            key, owner, count = runs(owner, key)
+            packed = np.empty((len(key), 7), np.uint8)
+            for i in range(3):
+                packed[:, i] = owner >> (8 * i)
+            for i in range(4):
+                packed[:, 3 + i] = count >> (8 * i)
+            new = np.ones(len(key), bool)
+            new[1:] = key[1:] != key[:-1]
+            first = np.flatnonzero(new)
+            offsets = np.concatenate((first, [len(key)])) * 7
+            n = len(first)
+            for a in range(0, n, 100_000):
+                b = min(n, a + 100_000)
+                own = pa.Array.from_buffers(pa.binary(), b - a, [
+                    None, pa.py_buffer((offsets[a:b + 1] - offsets[a]).astype(np.int32)),
+                    pa.py_buffer(packed.reshape(-1)[offsets[a]:offsets[b]].copy())])
+                yield pa.RecordBatch.from_arrays(
+                    [W.signed(key[first[a:b]]), pa.array(np.full(b - a, block)), own, *(pa.nulls(b - a, t) for t in info)], names)
+            ids = pa.concat_arrays([r.column(0) for r in rows])
+            flags = pa.concat_arrays([r.column(2) for r in rows])
+            cuts = np.array([*range(0, n_docs, TOGETHER), n_docs], np.int32)
+            m = len(cuts) - 1
+            own_key = W.mix(np.full(m, block + 1, np.uint64) * np.uint64(2654435761) + np.arange(m, dtype=np.uint64))
+            yield pa.RecordBatch.from_arrays(
+                [W.signed(own_key), pa.array(np.full(m, block)), pa.nulls(m, pa.binary()), pa.array(cuts[:-1]),
+                 pa.ListArray.from_arrays(pa.array(cuts), ids), pa.ListArray.from_arrays(pa.array(cuts), pa.array(size.astype(np.int64))),
+                 pa.ListArray.from_arrays(pa.array(cuts), flags)], names)
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    from pyspark.sql.pandas.types import to_arrow_type
+    info = [pa.int32(), pa.list_(to_arrow_type(docs.schema["doc_id"].dataType)), pa.list_(pa.int64()), pa.list_(pa.bool_())]
+    names = ["key", "block", "packed", "first", "ids", "sizes", "flags"]
+    return docs.select("doc_id", "text", flag).mapInArrow(
+        run, f"key long, block long, packed binary, first int, ids array<{id_type}>, sizes array<long>, flags array<boolean>")
+
+
+def _sums(joined: DataFrame, values: list[str]) -> DataFrame:
+    """Per block and document number, parts of the sums of count x value; and one row each
+    with the document's own columns."""
+    def run(batches):
+        held = [], [], []
+
+        def merged():
+            """What is held, one entry for each block and document."""
+            block, doc, sums = np.concatenate(held[0]), np.concatenate(held[1]), np.concatenate(held[2], axis=1)
+            order = np.lexsort((doc, block))
+            block, doc = block[order], doc[order]
+            new = np.ones(len(block), bool)
+            new[1:] = (block[1:] != block[:-1]) | (doc[1:] != doc[:-1])
+            first = np.flatnonzero(new)
+            return block[first], doc[first], np.add.reduceat(sums[:, order], first, axis=1)
+
+        def part(block, doc, sums):
+            m = len(block)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(block), pa.array(doc.astype(np.int32)), *(pa.array(x) for x in sums),
+                 pa.nulls(m, id_type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_())], names)
+
+        n_held = 0
+        for batch in batches:
+            block = np.array(batch.column(0), np.int64)
+            packed = batch.column(1)
+            is_doc = np.array(packed.is_null())
+            for i in np.flatnonzero(is_doc):
+                ids = batch.column(3)[i].values
+                m = len(ids)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(m, block[i])), pa.array(np.arange(m, dtype=np.int32) + batch.column(2)[i].as_py()),
+                     *(pa.array(np.zeros(m)) for _ in values), ids, batch.column(4)[i].values, batch.column(5)[i].values], names)
+            rows = pa.array(~is_doc)
+            packed, block = packed.filter(rows), block[~is_doc]
+            if not len(packed):
+                continue
+            raw = np.frombuffer(_bytes(packed), np.uint8).reshape(-1, 7)
+            row = np.repeat(np.arange(len(block)), np.diff(_offsets(packed)) // 7)
+            doc = raw[:, 0].astype(np.int64) | (raw[:, 1].astype(np.int64) << 8) | (raw[:, 2].astype(np.int64) << 16)
+            count = sum(raw[:, 3 + i].astype(np.int64) << (8 * i) for i in range(4))
+            given = [np.nan_to_num(batch.column(6 + k).filter(rows).to_numpy(zero_copy_only=False)) for k in range(len(values))]
+            held[0].append(block[row])
+            held[1].append(doc)
+            held[2].append(np.stack([v[row] * count for v in given]))
+            n_held += len(row)
+            if n_held > HELD:
+                block, doc, sums = merged()
+                if len(block) > HELD // 2:
+                    yield part(block, doc, sums)
+                    held, n_held = ([], [], []), 0
+                else:
+                    held, n_held = ([block], [doc], [sums]), len(block)
+        if n_held:
+            yield part(*merged())
+
+    names = ["block", "doc", *values, "doc_id", "size", "flag"]
+    from pyspark.sql.pandas.types import to_arrow_type
+    of = joined.schema["ids"].dataType.elementType
+    id_type = to_arrow_type(of)
+    schema = f"block long, doc int, {', '.join(v + ' double' for v in values)}, doc_id {of.simpleString()}, size long, flag boolean"
+    return joined.select("block", "packed", "first", "ids", "sizes", "flags", *values).mapInArrow(run, schema)
+
+
+def _offsets(array: pa.Array) -> np.ndarray:
+    kind = np.int64 if pa.types.is_large_binary(array.type) else np.int32
+    return np.frombuffer(array.buffers()[1], kind)[array.offset:array.offset + len(array) + 1].astype(np.int64)
+
+
+def _bytes(array: pa.Array):
+    o = _offsets(array)
+    return memoryview(array.buffers()[2])[o[0]:o[-1]]
+
+
+def document_sums(posted: DataFrame, table: DataFrame, values: list[str]) -> DataFrame:
+    """doc_id, size (tokens), flag and the sums of the ``values`` of ``table`` (key, ...) over
+    the tokens of each document; a token without a row there adds nothing."""
+    parts = _sums(posted.join(table, "key", "left"), values)
+    return (parts.groupBy("block", "doc").agg(*(F.sum(v).alias(v) for v in values), F.max("size").alias("size"),
+                                              F.max("doc_id").alias("doc_id"), F.max("flag").alias("flag"))
+            .drop("block", "doc"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ideolens.llm import lines, mixing, oracles, quality_bands, secret_scan, simhash, toxicity, winnowing
+from ideolens.llm import kneser_ney, lines, mixing, oracles, pitman_yor, quality_bands, secret_scan, simhash, toxicity, winnowing
 from ideolens.llm.rows import table
 
 
@@ -36,6 +36,15 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(base.cast("binary"), 256).alias("base_sha256"), secret_scan.describe(F.col("spans")).alias("spans"))
 
 
+def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(table(spark, sf_dir, "documents"))
+
+
+def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return kneser_ney.classify(table(spark, sf_dir, "documents"), trusted)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted")
@@ -56,8 +65,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = (op1_mix_sources, op3_decontaminate, op4_drop_common_lines, op5_secret_scan, op8_toxicity,
-           op9_quality_bands, op10_simhash, pipeline)
+QUERIES = (op1_mix_sources, op3_decontaminate, op4_drop_common_lines, op5_secret_scan, op6_pitman_yor,
+           op7_kneser_ney, op8_toxicity, op9_quality_bands, op10_simhash, pipeline)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

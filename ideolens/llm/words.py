@@ -36,8 +36,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def pieces(texts: pa.Array, limit: int = PIECE):
-    """Yield (first row, last row + 1, bytes, bounds) over consecutive rows; nulls are empty."""
+def pieces(texts: pa.Array, limit: int = PIECE, rows: int = 1 << 20):
+    """Yield (first row, last row + 1, bytes, bounds) over at most ``rows`` consecutive rows;
+    nulls are empty."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -50,7 +51,7 @@ def pieces(texts: pa.Array, limit: int = PIECE):
     at = 0
     while at < n:
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
-        end = min(end, n)
+        end = min(end, n, at + rows)
         yield at, end, data[offsets[at]:offsets[end]], offsets[at:end + 1] - offsets[at]
         at = end
 
