@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ideolens.llm import kneser_ney, lines, mixing, oracles, pitman_yor, quality_bands, secret_scan, simhash, toxicity, winnowing
+from ideolens.llm import kneser_ney, lines, mixing, oracles, pii, pitman_yor, quality_bands, secret_scan, simhash, toxicity, winnowing
 from ideolens.llm.rows import table
 
 
@@ -15,6 +15,14 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+#: Key of the surrogates in the registered query; give your own to replace_pii.
+PII_KEY = "ideolens"
+
+
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnowing.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     ids = F.array_join(F.array_sort(F.transform("item_ids", lambda x: x.cast("string"))), ",")
@@ -65,7 +73,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = (op1_mix_sources, op3_decontaminate, op4_drop_common_lines, op5_secret_scan, op6_pitman_yor,
+QUERIES = (op1_mix_sources, op2_pii_surrogates, op3_decontaminate, op4_drop_common_lines, op5_secret_scan, op6_pitman_yor,
            op7_kneser_ney, op8_toxicity, op9_quality_bands, op10_simhash, pipeline)
 
 
