@@ -14,52 +14,53 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ideolens.llm import lines, mixing, simhash, toxicity, winnowing
-from ideolens.llm.rows import join_rows, table, text_key
+from ideolens.llm.rows import broadcast_if_small, join_rows, pack, settle, table, text_key, unpack
 from ideolens.session import ensure_checkpoint_dir
 
 
-def _with_result(docs: DataFrame, result: DataFrame) -> DataFrame:
-    """docs joined with one result row per (doc_id, tkey)."""
-    keyed = docs.withColumn("tkey", text_key())
-    once = result.dropDuplicates(["doc_id", "tkey"])
-    return join_rows(keyed, once)
+def _judged(docs: DataFrame, result: DataFrame) -> DataFrame:
+    """The rows of docs that have a row (doc_id, tkey, ...) in ``result``."""
+    keys = broadcast_if_small(settle(result.select("doc_id", "tkey").distinct()), 48)
+    return unpack(join_rows(pack(docs, "doc_id", text_key().alias("tkey")), keys, "left_semi"), docs)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below 0.5."""
-    scored = toxicity.score(docs, table(spark, sf_dir, "labels"))
-    return scored.where(F.col("predicted") == 0).select(*docs.columns)
+    scored = toxicity.score(pack(docs, "doc_id", "text"), table(spark, sf_dir, "labels"))
+    return unpack(scored.where(F.col("predicted") == 0), docs)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without common lines; one of which no text is left goes, unless it had none."""
-    kept = lines.drop_common_lines(docs)
+    kept = lines.drop_common_lines(pack(docs, "doc_id", "text"))
     kept = kept.where((F.col("n_dropped") == 0) | (F.length(F.btrim("kept_text", F.lit(" \t\n\x0b\x0c\r"))) > 0))
     changed = F.col("n_dropped") > 0
-    new = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("text")),
-           "n_chars": F.when(changed, F.length("kept_text")).otherwise(F.col("n_chars"))}
-    return kept.select(*[new[c].cast(docs.schema[c].dataType).alias(c) if c in new else c for c in docs.columns])
+    new = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        n_chars = F.when(changed, F.length("kept_text")).otherwise(F.col("row.n_chars"))
+        new["n_chars"] = n_chars.cast(docs.schema["n_chars"].dataType)
+    return unpack(kept, docs, **new)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest doc_id of each component of near-duplicates, one if several
-    rows have this id; all rows of a component without ids would be copies, one stays."""
+    """One document of each component of near-duplicates: the row with the smallest doc_id;
+    of several rows with this id, or if no row has an id, the one with the smallest text hash."""
     found = simhash.near_duplicates(docs)
-    least = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    one = (found.where(least).groupBy("doc_id").agg(F.min("tkey").alias("tkey"))
-           .where(F.col("doc_id").isNotNull())
-           .unionByName(found.where(F.col("component_id").isNull()).groupBy("fp").agg(F.min("tkey").alias("tkey"))
-                        .select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "tkey")))
-    keyed = docs.withColumn("tkey", text_key())
-    kept = join_rows(keyed, one, "left_semi")
-    return kept.dropDuplicates(["doc_id", "tkey"]).select(*docs.columns)
+    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp")))
+    least = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(group.alias("of"))
+             .agg(F.min(F.struct("tkey", "doc_id")).alias("x")).select("x.*"))
+    copies = found.groupBy("doc_id", "tkey").agg(F.count("*").alias("n"))
+    one = broadcast_if_small(settle(join_rows(copies, least, "left_semi")), 56)
+    rows = join_rows(pack(docs, "doc_id", text_key().alias("tkey")), one)
+    # only repeated rows of one id and text need to be brought together
+    kept = rows.where("n = 1").unionByName(rows.where("n > 1").dropDuplicates(["doc_id", "tkey"]))
+    return unpack(kept, docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth of the words overlap with benchmark items."""
     found = winnowing.find_overlaps(docs, table(spark, sf_dir, "benchmark"))
-    clean = found.where(~winnowing.contaminated()).select("doc_id", "tkey")
-    return _with_result(docs, clean).select(*docs.columns)
+    return _judged(docs, found.where(~winnowing.contaminated()))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

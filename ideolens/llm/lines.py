@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ideolens.llm import words as W
-from ideolens.llm.rows import broadcast_if_small, join_rows, settle, text_key
+from ideolens.llm.rows import broadcast_if_small, join_rows, pack, settle, text_key, unpack
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -110,7 +110,7 @@ def drop_common_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -
     lines stay as they are, joined by a newline.  A null or empty text is one empty line
     (kept_text is empty); a null doc_id is an id below all others; repeated rows are treated
     alike and count as one document; an empty table gives an empty result."""
-    base = docs.withColumn("tkey", text_key())
+    base = pack(docs, "doc_id", "text", text_key().alias("tkey"))
     common = settle(common_lines(base, min_chars, min_docs))
     lines = _lines(base, min_chars, True).alias("l")
     hit = (lines.join(broadcast_if_small(common).alias("c"), ["h1", "h2"])
@@ -118,8 +118,7 @@ def drop_common_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -
     gone = settle(hit.groupBy("l.doc_id", "tkey").agg(F.collect_set("pos").alias("gone_at")))
     gone = broadcast_if_small(gone, F.size("gone_at") * 4 + 48)
     text = F.coalesce("text", F.lit(""))
-    return (join_rows(base, gone, "left")
-            .withColumn("n_lines", (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long"))
-            .withColumn("n_dropped", F.coalesce(F.size("gone_at"), F.lit(0)).cast("long"))
-            .withColumn("kept_text", F.coalesce(_without()(F.when(F.col("gone_at").isNotNull(), text), "gone_at"), text))
-            .drop("gone_at", "tkey"))
+    n_lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    kept = F.coalesce(_without()(F.when(F.col("gone_at").isNotNull(), text), "gone_at"), text)
+    return unpack(join_rows(base, gone, "left"), docs, n_lines=n_lines.cast("long"),
+                  n_dropped=F.coalesce(F.size("gone_at"), F.lit(0)).cast("long"), kept_text=kept)

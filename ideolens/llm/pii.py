@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ideolens.llm.rows import broadcast_if_small, discard, join_rows, settle, text_key
+from ideolens.llm.rows import broadcast_if_small, discard, join_rows, pack, settle, text_key, unpack
 
 # Forms of address and given names by gender, in three scripts.
 MALE_TITLES = ("Mr", "Mister", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Κύριος")
@@ -212,7 +212,7 @@ def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     same ``key`` gives the same surrogates again for the same corpus.  Null texts stay null
     and, like empty ones, have no mentions; repeated rows are treated alike; very long texts
     are read whole; an empty table gives an empty result."""
-    base = docs.withColumn("tkey", text_key())
+    base = pack(docs, "doc_id", "text", text_key().alias("tkey"))
     found = (base.select("doc_id", "tkey", F.when(F.col("text").rlike(SIEVE), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).alias("m"))
              .where(F.size("m") > 0).dropDuplicates(["doc_id", "tkey"]))
     mentions = found.select("doc_id", "tkey", F.posexplode("m").alias("i", "match"))
@@ -230,5 +230,5 @@ def replace_pii(docs: DataFrame, key: str) -> DataFrame:
     joined = join_rows(base, broadcast_if_small(per_doc, F.size("new") * 48 + 64), "left")
     # the text between the mentions, each part followed by the surrogate of the next mention
     text = F.array_join(F.zip_with(F.split("text", PATTERN, -1), F.concat("new", F.array(F.lit(""))), lambda gap, new: F.concat(gap, new)), "")
-    return (joined.withColumn("text", F.when(F.col("new").isNull(), F.col("text")).otherwise(text))
-            .withColumn("n_entities", F.coalesce(F.size("new"), F.lit(0)).cast("long")).drop("tkey", "new"))
+    return unpack(joined, docs, text=F.when(F.col("new").isNull(), F.col("text")).otherwise(text),
+                  n_entities=F.coalesce(F.size("new"), F.lit(0)).cast("long"))

@@ -24,6 +24,23 @@ def text_key(text: str = "text"):
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
+def pack(docs: DataFrame, *names) -> DataFrame:
+    """The named columns, and all of them as the struct ``row``, so that no column of docs
+    meets one of an operator."""
+    return docs.select(*names, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def unpack(df: DataFrame, docs: DataFrame, **new) -> DataFrame:
+    """The columns of docs from ``row``; ``new`` columns replace those of the same name (in
+    any case) or come after them."""
+    left = dict(new)
+    out = []
+    for c in docs.columns:
+        name = next((n for n in left if n.lower() == c.lower()), None)
+        out.append(F.col(f"row.`{c}`") if name is None else left.pop(name).alias(name))
+    return df.select(*out, *(column.alias(name) for name, column in left.items()))
+
+
 def join_rows(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
     """Join on (doc_id, tkey), which stay as a has them; a null doc_id equals a null doc_id."""
     other = b.withColumnsRenamed({"doc_id": "_other_id", "tkey": "_other_key"})

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ideolens.llm import words as W
-from ideolens.llm.rows import settle
+from ideolens.llm.rows import pack, settle, unpack
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -201,5 +201,5 @@ def score(docs: DataFrame, labels: DataFrame, fold: int = 5) -> DataFrame:
     empty result."""
     model = train(docs, labels, ~held_out(fold))
     udf = F.arrow_udf(lambda texts: model.score(texts), "double")
-    return (docs.withColumn("held_out", held_out(fold)).withColumn("score", udf("text"))
-            .withColumn("predicted", (F.col("score") >= 0.5).cast("int")))
+    scored = pack(docs, "doc_id", udf("text").alias("score"))
+    return unpack(scored, docs, held_out=held_out(fold), score=F.col("score"), predicted=(F.col("score") >= 0.5).cast("int"))
