@@ -121,21 +121,18 @@ def _sample(ids: DataFrame, n: int) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, usable=None) -> Model:
     """Fit on documents whose id passes ``usable`` (a column over doc_id; all if None).
 
-    P: rows of labels with toxic = 1, at most about MAX_TOXIC; U: documents without a toxic
-    label (all documents, if each has one), at most about MAX_UNLABELLED.  The prior is the
-    share of toxic rows among the labelled ones.  Several labels of one id count as the
-    largest; labels without id, without value or without document are ignored."""
+    P: rows of labels with toxic = 1, at most about MAX_TOXIC; U: documents whatever their
+    label, at most about MAX_UNLABELLED, so that toxic ones are among them as among all text.
+    The prior is the share of toxic rows among the labelled ones.  Several labels of one id
+    count as the largest; labels without id, value or document are ignored."""
     usable = F.lit(True) if usable is None else usable
     marks = settle(labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & usable)
                    .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     seen = marks.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
     prior = min(max((seen["t"] or 0) / seen["n"], 0.001), 0.5) if seen["n"] else DEFAULT_PRIOR
-    ids = docs.select("doc_id").where(F.col("doc_id").isNotNull() & usable)
-    free = settle(ids.join(marks, "doc_id", "left_anti").distinct())
-    if free.limit(1).count() == 0:
-        free = ids.distinct()
+    ids = settle(docs.select("doc_id").where(F.col("doc_id").isNotNull() & usable).distinct())
     chosen = settle(_sample(marks.where("toxic = 1").select("doc_id"), MAX_TOXIC).withColumn("positive", F.lit(1))
-                    .unionByName(_sample(free, MAX_UNLABELLED).withColumn("positive", F.lit(0))))
+                    .unionByName(_sample(ids, MAX_UNLABELLED).withColumn("positive", F.lit(0))))
 
     def extract(batches):
         for batch in batches:
