@@ -21,8 +21,8 @@ from ideolens.llm.rows import settle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Rows of the value table that every task holds (8 bytes of key and 8 for each value).
-FREQUENT = 4_000_000
+#: Rows of the value table that every task holds, of 16 bytes or a few more.
+FREQUENT = 2_000_000
 #: Weights are told apart by eighths of a power of two.
 STEPS = 8
 
@@ -61,18 +61,24 @@ def split_table(table: DataFrame, weight: str, limit: int = FREQUENT):
     return table.where(level >= least), rest
 
 
-def document_sums(docs: DataFrame, tokens, flag: str, table: DataFrame, values: list[str], weight: str,
-                  limit: int = FREQUENT) -> DataFrame:
-    """doc_id, flag, size (tokens) and the sums of ``values`` of ``table`` (key, values,
-    weight) over the tokens of each row of docs (doc_id, text, flag).
+def document_sums(docs: DataFrame, tokens, flag: str, table: DataFrame, weight: str, values: dict,
+                  columns: dict | None = None, local=None, limit: int = FREQUENT) -> DataFrame:
+    """doc_id, flag, size (tokens) and, for each of ``values`` (name: expression over table),
+    the sum over the tokens of each row of docs (doc_id, text, flag).
 
-    ``tokens`` gives from the bytes and bounds of some texts the text index and the key of
-    each token.  A token without a row in the table adds nothing."""
+    ``table`` has key, weight and what the values need.  ``tokens`` gives from the bytes and
+    bounds of some texts the text index and the key of each token; a token without a row in
+    the table adds nothing.  For the rows that all tasks hold, ``columns`` (name: type) are
+    sent, from whose arrays ``local`` computes the values; by default these are the values."""
     frequent, rest = split_table(table, weight, limit)
-    local = frequent.select("key", *values).toArrow()  # at most ``limit`` rows
-    order = np.argsort(local["key"].to_numpy().view(np.uint64))
+    if columns is None:
+        columns, local = {v: "float64" for v in values}, lambda *x: x
+        frequent = frequent.select("key", *(e.alias(v) for v, e in values.items()))
+    sent = frequent.select("key", *columns).toArrow()  # at most ``limit`` rows
+    order = np.argsort(sent["key"].to_numpy().view(np.uint64))
     known = docs.sparkSession.sparkContext.broadcast(
-        (local["key"].to_numpy().view(np.uint64)[order], [local[v].to_numpy()[order] for v in values]))
+        (sent["key"].to_numpy().view(np.uint64)[order], [sent[c].to_numpy()[order].astype(kind) for c, kind in columns.items()]))
+    del sent, order
     names = ["doc_id", "flag", "size", *values, "missing", "times"]
 
     def run(batches):
@@ -84,14 +90,12 @@ def document_sums(docs: DataFrame, tokens, flag: str, table: DataFrame, values:
                 size = np.bincount(owner, minlength=n)
                 key, owner, count = runs(owner, key)
                 asked, entries = distinct(key)
-                if len(have):
-                    where = np.minimum(np.searchsorted(have, asked), len(have) - 1)
-                    found = have[where] == asked
-                else:
-                    where, found = np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+                where = np.minimum(np.searchsorted(have, asked), max(len(have) - 1, 0))
+                found = have[where] == asked if len(have) else np.zeros(len(asked), bool)
                 hit = np.repeat(found, entries)
-                some, times = owner[hit], count[hit]
-                sums = [np.bincount(some, np.repeat(v[where[found]], entries[found]) * times, minlength=n) for v in numbers]
+                some, times, each = owner[hit], count[hit], entries[found]
+                sums = [np.bincount(some, np.repeat(v, each) * times, minlength=n)
+                        for v in local(*(x[where[found]] for x in numbers))]
                 late = np.flatnonzero(~hit)
                 late = late[np.argsort(owner[late], kind="stable")]
                 offsets = W.per_text(owner[late], n)
@@ -103,11 +107,11 @@ def document_sums(docs: DataFrame, tokens, flag: str, table: DataFrame, values:
     kind = docs.schema["doc_id"].dataType.simpleString()
     base = docs.select("doc_id", "text", flag).mapInArrow(
         run, f"doc_id {kind}, flag boolean, size long, {', '.join(f'{v} double' for v in values)}, missing array<long>, times array<long>")
-    columns = ["doc_id", "flag", "size"]
+    kept = ["doc_id", "flag", "size"]
     if rest is None:
-        return base.select(*columns, *values)
+        return base.select(*kept, *values)
     base = settle(base.withColumn("uid", F.monotonically_increasing_id()))
     entries = base.select("uid", F.explode(F.arrays_zip("missing", "times")).alias("x")).select("uid", F.col("x.missing").alias("key"), "x.times")
-    more = entries.join(rest.select("key", *values), "key").groupBy("uid").agg(
+    more = entries.join(rest.select("key", *(e.alias(v) for v, e in values.items())), "key").groupBy("uid").agg(
         *(F.sum(F.col(v) * F.col("times")).alias(f"more_{v}") for v in values))
-    return base.join(more, "uid", "left").select(*columns, *((F.col(v) + F.coalesce(f"more_{v}", F.lit(0.0))).alias(v) for v in values))
+    return base.join(more, "uid", "left").select(*kept, *((F.col(v) + F.coalesce(f"more_{v}", F.lit(0.0))).alias(v) for v in values))

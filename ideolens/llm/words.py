@@ -17,7 +17,7 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Bytes of text handled at once; a single longer text is still handled whole.
-PIECE = 4 << 20
+PIECE = 1 << 20
 
 
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
@@ -106,8 +106,10 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
     n = lens[some]
     if len(n):
         first = np.cumsum(n) - n
-        k = np.arange(int(n.sum())) - np.repeat(first, n)
-        at = k + np.repeat(starts[some], n)
+        total = int(n.sum())
+        small = np.int32 if max(total, len(data)) < 1 << 31 else np.int64
+        k = np.arange(total, dtype=small) - np.repeat(first.astype(small), n)
+        at = k + np.repeat(starts[some].astype(small), n)
         base = int(_stream(seed + 100, 1)[0]) | 1
         with np.errstate(over="ignore"):
             out[some] = np.add.reduceat(_stream(seed, 256)[data[at]] * _powers(base, int(n.max()))[k], first)
