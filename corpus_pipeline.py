@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ideolens.llm import lines, mixing, simhash, toxicity, winnowing
-from ideolens.llm.rows import broadcast_if_small, join_rows, pack, settle, table, text_key, unpack
+from ideolens.llm.rows import broadcast_if_small, join_rows, pack, scratch, settle, table, text_key, unpack
 from ideolens.session import ensure_checkpoint_dir
 
 
@@ -81,11 +81,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each is written as Parquet and read by the next one."""
+    """All stages over ``documents``; each is written as Parquet and read by the next one, and
+    its intermediate tables are deleted then."""
     docs = table(spark, sf_dir, "documents")
     at = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         path = f"{at}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from ideolens.session import ensure_checkpoint_dir
 
 #: Largest estimated size of a table that a broadcast join may copy to every executor.
 BROADCAST_BYTES = 32 << 20
+#: Paths of the settled tables of this process that were not discarded.
+_settled: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,18 +59,38 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _settled.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled_path = path
     return out
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Delete the settled tables that were made inside, when the results that need them
+    have been written."""
+    outer = list(_settled)
+    _settled.clear()
+    try:
+        yield
+    finally:
+        for path in _settled:
+            _delete(spark, path)
+        _settled[:] = outer
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a settled table that a newer one supersedes."""
     path = getattr(df, "_settled_path", None)
     if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
+        if path in _settled:
+            _settled.remove(path)
 
 
 def broadcast_if_small(df: DataFrame, row_bytes=64, max_bytes: int = BROADCAST_BYTES) -> DataFrame:

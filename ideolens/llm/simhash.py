@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ideolens.llm import words as W
-from ideolens.llm.rows import discard, settle
+from ideolens.llm.rows import discard, settle, text_key
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -248,8 +248,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> Dat
     Null and empty texts have fingerprint zero, linked like any other; fewer words than a
     shingle make one shingle; repeated rows share their fingerprint.  A component without
     any doc_id has a null component_id; an empty table gives an empty result."""
-    fp = F.arrow_udf(lambda texts: fingerprints(texts, shingle), "long")
-    base = settle(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tkey"), fp("text").alias("fp")))
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fingerprints(batch.column(2), shingle)], ["doc_id", "tkey", "fp"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", text_key().alias("tkey"), "text").mapInArrow(run, f"doc_id {kind}, tkey long, fp long")
+    base = settle(rows)
     prints = settle(base.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(near_links(prints, max_bits))
     of = prints.join(roots, prints["fp"] == roots["node"], "left").select(

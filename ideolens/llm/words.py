@@ -38,22 +38,33 @@ LOWER[65:91] += 32
 
 def pieces(texts: pa.Array, limit: int = PIECE, rows: int = 1 << 20):
     """Yield (first row, last row + 1, bytes, bounds) over at most ``rows`` consecutive rows;
-    nulls are empty."""
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    nulls are empty.  Only the rows at hand are copied, and unused memory goes back, as the
+    Python workers of an executor share what its JVM leaves."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
+    wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
     n = len(texts)
-    if not n:
-        return
-    _, offsets, data = texts.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[texts.offset:texts.offset + n + 1]
-    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    if n and not wide and texts.type != pa.string():
+        texts = texts.cast(pa.string())
+    kind = np.int64 if wide else np.int32
+
+    def offsets(x):
+        return np.frombuffer(x.buffers()[1], kind)[x.offset:x.offset + len(x) + 1]
+
     at = 0
+    upto = offsets(texts) if n else None
     while at < n:
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
+        end = max(at + 1, int(np.searchsorted(upto, int(upto[at]) + limit, side="right")) - 1)
         end = min(end, n, at + rows)
-        yield at, end, data[offsets[at]:offsets[end]], offsets[at:end + 1] - offsets[at]
+        part = texts.slice(at, end - at)
+        if part.null_count:
+            part = pc.fill_null(part, "")
+        bounds = offsets(part).astype(np.int64)
+        data = part.buffers()[2]
+        data = np.frombuffer(data, np.uint8)[bounds[0]:bounds[-1]] if data is not None else np.zeros(0, np.uint8)
+        yield at, end, data, bounds - bounds[0]
         at = end
+    pa.default_memory_pool().release_unused()
 
 
 def spans(data: np.ndarray, bounds: np.ndarray, is_token: np.ndarray):
