@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ideolens.llm import words as W
-from ideolens.llm.rows import broadcast_if_small, join_rows, pack, settle, text_key, unpack
+from ideolens.llm.rows import broadcast_if_small, join_rows, pack, settle, short_batches, text_key, unpack
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -110,6 +110,7 @@ def drop_common_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -
     lines stay as they are, joined by a newline.  A null or empty text is one empty line
     (kept_text is empty); a null doc_id is an id below all others; repeated rows are treated
     alike and count as one document; an empty table gives an empty result."""
+    short_batches(docs)
     base = pack(docs, "doc_id", "text", text_key().alias("tkey"))
     common = settle(common_lines(base, min_chars, min_docs))
     lines = _lines(base, min_chars, True).alias("l")

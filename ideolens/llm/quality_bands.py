@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ideolens.llm import words as W
 from ideolens.llm.lines import LINE
+from ideolens.llm.rows import short_batches
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -110,6 +111,7 @@ def judge(docs: DataFrame) -> DataFrame:
     base_failed, the whole text's ratio in its band, and at most MAX_BAD_CHUNKS of the chunks
     outside theirs).  Null and empty texts have no words and fail; repeated rows are judged
     alike; an empty table gives an empty result."""
+    short_batches(docs)
     kind = "struct<" + ",".join(f"{n}:{'bigint' if k == 'long' else k}" for n, k in FIELDS) + ">"
     out = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("n_bytes"),
                       F.arrow_udf(lambda texts: measure(texts), kind)("text").alias("m")).select("doc_id", "n_bytes", "m.*")

@@ -16,6 +16,20 @@ BROADCAST_BYTES = 32 << 20
 _settled: list[str] = []
 
 
+#: Rows of an Arrow batch sent to Python.  Texts are long: at Spark's 10,000 rows a batch
+#: takes tens of megabytes on both sides of every worker's pipe, and again when it grows.
+ARROW_ROWS = 1024
+
+
+def short_batches(df: DataFrame) -> None:
+    """Lower the session's Arrow batch length to ARROW_ROWS if it is longer.  Results do not
+    depend on it; a shorter one that the user chose stays."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(conf.get(key))
+    if now <= 0 or now > ARROW_ROWS:
+        conf.set(key, str(ARROW_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

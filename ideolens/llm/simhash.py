@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ideolens.llm import words as W
-from ideolens.llm.rows import discard, settle, text_key
+from ideolens.llm.rows import discard, settle, short_batches, text_key
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -33,7 +33,7 @@ ROWS = 1 << 18
 def fingerprints(texts: pa.Array, shingle: int = 4, seed: int = 42) -> pa.Array:
     """64-bit SimHash of each text over its word shingles (XXH64, repeats included)."""
     out = np.zeros(len(texts), np.uint64)
-    for at, end, data, bounds in W.pieces(texts, 1 << 20):
+    for at, end, data, bounds in W.pieces(texts, 1 << 19):
         low = W.LOWER[data]
         starts, ends, text = W.spans(low, bounds, W.NOT_SPACE)
         if not len(starts):
@@ -248,6 +248,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> Dat
     Null and empty texts have fingerprint zero, linked like any other; fewer words than a
     shingle make one shingle; repeated rows share their fingerprint.  A component without
     any doc_id has a null component_id; an empty table gives an empty result."""
+    short_batches(docs)
+
     def run(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fingerprints(batch.column(2), shingle)], ["doc_id", "tkey", "fp"])

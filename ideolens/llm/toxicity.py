@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ideolens.llm import words as W
-from ideolens.llm.rows import pack, settle, unpack
+from ideolens.llm.rows import pack, settle, short_batches, unpack
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -196,6 +196,7 @@ def score(docs: DataFrame, labels: DataFrame, fold: int = 5) -> DataFrame:
     alone.  Null and empty texts get the score of a text without known features; repeated
     rows score alike; with no toxic label every score is near 0; an empty table gives an
     empty result."""
+    short_batches(docs)
     model = train(docs, labels, ~held_out(fold))
     udf = F.arrow_udf(lambda texts: model.score(texts), "double")
     scored = pack(docs, "doc_id", udf("text").alias("score"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ideolens.llm import words as W
-from ideolens.llm.rows import broadcast_if_small, join_rows, settle, text_key
+from ideolens.llm.rows import broadcast_if_small, join_rows, settle, short_batches, text_key
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -150,6 +150,7 @@ def find_overlaps(docs: DataFrame, items: DataFrame, span: int = 13) -> DataFram
     words of a shorter one.  Null texts have no words and no hits; items without words have
     no window; an item without id marks words but is not listed; repeated items and repeated
     documents change nothing for the others and get equal results."""
+    short_batches(docs)
     cols = items.select(F.col("item_id").alias("doc_id"), text_key().alias("tkey"), "text")
     own = settle(_windows(cols, span, True).select("doc_id", F.explode("windows").alias("w"))
                  .select("doc_id", "w.len", "w.k1", "w.k2").distinct())

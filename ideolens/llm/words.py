@@ -6,6 +6,7 @@ so a byte table decides them: bytes from 0x80 up belong to characters above ASCI
 
 from __future__ import annotations
 
+import ctypes
 import sys
 
 import numpy as np
@@ -64,7 +65,15 @@ def pieces(texts: pa.Array, limit: int = PIECE, rows: int = 1 << 20):
         data = np.frombuffer(data, np.uint8)[bounds[0]:bounds[-1]] if data is not None else np.zeros(0, np.uint8)
         yield at, end, data, bounds - bounds[0]
         at = end
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker that waits for its next task holds little."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def spans(data: np.ndarray, bounds: np.ndarray, is_token: np.ndarray):
