@@ -11,6 +11,7 @@ from ..operators import sampling as S
 from ..plans import diagnostics as D
 from ..plans import draws as DR
 from ..plans import scores as SC
+from ..session import cut_lineage
 from ..sources import fixtures as fx
 from . import inputs as I
 from .inputs import round_doubles, with_ctes
@@ -42,12 +43,21 @@ def _flat(spark, d):
     return E.flat_parameter_index(E.candidate_ids(I.all_valid(spark, d), "democrat"))
 
 
+def _model(spark, d, flipped=False):
+    """(draws of all voters and candidates, choices, flat candidate index), encoded once."""
+    choices, ids, voters = I.choices_and_ids(spark, d)
+    flat = cut_lineage(E.flat_parameter_index(ids))
+    return cut_lineage(fx.model_draws(voters, flat, flipped)), choices, flat
+
+
 EXTRA = {
     "flat": ("""SELECT race, candidate, candidate_id, race_id,
         CAST(row_number() OVER (ORDER BY race_id, candidate_id) AS BIGINT) AS param_idx FROM cand_ids""",
              ["cand_ids"]),
     "vs": ("""SELECT idx AS voter_id, -1.0 * avg(value) AS mean, 1.0 / var_samp(value) AS precision
-        FROM draws WHERE variable = 'alpha' GROUP BY idx""", ["draws"]),
+        FROM mdraws WHERE variable = 'alpha' GROUP BY idx""", ["mdraws"]),
+    "mdraws": (fx.MODEL_DRAWS_SQL, ["voter_ids", "flat"]),
+    "wide": (fx.WIDE_LONG_SQL, []),
     "rh": ("""
 SELECT variable, idx, CASE WHEN W > 0 THEN sqrt(((n - 1) / n * W + var_m) / W) END AS rhat FROM (
   SELECT variable, idx, avg(v) AS W, var_samp(m) AS var_m, CAST(min(nn) AS DOUBLE) AS n FROM (
@@ -89,6 +99,8 @@ SELECT * FROM (
                      WHERE v2.choice IS NOT NULL
                        AND v2.choice NOT IN ({", ".join(f"'{c}'" for c in MAIN_CHOICES)})
                      GROUP BY v2.choice HAVING count(*) > 5)) u""", ["vs", "vchoice"]),
+    "st": ("""SELECT choice, min(mean) AS lo, max(mean) AS hi, stddev_samp(mean) AS sd, count(*) AS n, sum(precision) AS wsum
+        FROM sbc GROUP BY choice""", ["sbc"]),
     "scored": ("""SELECT e.race, e.candidate, e.cfscore AS dime_ideal, c.bayes_ideal
         FROM ext_scores e JOIN cand_scores c ON c.race = e.race AND c.candidate = e.candidate""",
                ["ext_scores", "cand_scores"]),
@@ -149,29 +161,30 @@ SELECT g.chain, g.iteration, g.draw, g.variable, g.idx, round(g.value / s.sd, 4)
 FROM draws g JOIN (SELECT draw, stddev_samp(value) AS sd FROM draws WHERE variable = 'alpha' GROUP BY draw) s
   ON s.draw = g.draw WHERE g.variable = 'gamma'""", "draws"))
 def standardise_by_draw(spark, d):
-    return round_doubles(DR.standardise_by_draw(_draws(spark, d)))
+    return round_doubles(DR.standardise_by_draw(_draws(spark, d), "gamma"))
 
 
 @q("voter_scores", W("SELECT voter_id, round(mean, 4) AS mean, round(precision, 4) AS precision FROM vs", "vs"))
 def voter_scores(spark, d):
-    return round_doubles(SC.voter_scores(_draws(spark, d), orient=-1))
+    return round_doubles(SC.voter_scores(_model(spark, d)[0], orient=-1))
 
 
-def _cand_scores(spark, d):
-    return SC.candidate_scores(SC.voter_scores(_draws(spark, d), orient=-1), I.choices(spark, d), 5)
+def _cand_scores(model):
+    draws, choices, _ = model
+    return SC.candidate_scores(SC.voter_scores(draws, orient=-1), choices, 5)
 
 
 @q("candidate_scores", W("""
 SELECT race, candidate, round(bayes_ideal, 4) AS bayes_ideal, n_voters FROM cand_scores""", "cand_scores"))
 def candidate_scores(spark, d):
-    return round_doubles(_cand_scores(spark, d))
+    return round_doubles(_cand_scores(_model(spark, d)))
 
 
 def _sbc(spark, d):
     from ..operators import votes as V
-    ch = I.choices(spark, d)
+    draws, ch, _ = _model(spark, d)
     vc = V.voter_choice(ch, SCORE_OFFICE, key=["voter_id"])
-    return SC.scores_by_choice(SC.voter_scores(_draws(spark, d), orient=-1), vc, MAIN_CHOICES, 5)
+    return SC.scores_by_choice(SC.voter_scores(draws, orient=-1), vc, MAIN_CHOICES, 5)
 
 
 @q("scores_by_choice", W("""
@@ -182,15 +195,17 @@ def scores_by_choice(spark, d):
 
 @q("weighted_density", W("""
 SELECT choice, g, round(any_value(x), 4) AS x, round(sum(k), 4) AS density FROM (
-  SELECT r.choice, gs.g, (lo - 3 * bw) + gs.g * ((hi - lo + 6 * bw) / 63) AS x,
-    r.precision * exp(-0.5 * (((lo - 3 * bw) + gs.g * ((hi - lo + 6 * bw) / 63) - r.mean) / bw)
-                          * (((lo - 3 * bw) + gs.g * ((hi - lo + 6 * bw) / 63) - r.mean) / bw))
+  SELECT r.choice, gs.g, (lo - 3 * sp) + gs.g * ((hi - lo + 6 * sp) / 63) AS x,
+    r.w * exp(-0.5 * (((lo - 3 * sp) + gs.g * ((hi - lo + 6 * sp) / 63) - r.v) / bw)
+                   * (((lo - 3 * sp) + gs.g * ((hi - lo + 6 * sp) / 63) - r.v) / bw))
       / (bw * wsum * 2.5066282746310002) AS k
-  FROM sbc r JOIN (SELECT *, 1.06 * sd * pow(CAST(n AS DOUBLE), -0.2) AS bw FROM (
-        SELECT choice, min(mean) AS lo, max(mean) AS hi, stddev_samp(mean) AS sd, count(*) AS n,
-               sum(precision) AS wsum FROM sbc GROUP BY choice) st) s ON s.choice = r.choice
-  CROSS JOIN (SELECT CAST(range AS INTEGER) AS g FROM range(64)) gs
-  WHERE bw > 0) t GROUP BY choice, g""", "sbc"))
+  FROM (SELECT b.choice, bin, sum(b.precision) AS w, sum(b.precision * b.mean) / sum(b.precision) AS v
+        FROM (SELECT q.*, CASE WHEN hi > lo THEN least(floor((mean - lo) / (hi - lo) * 512), 511) ELSE 0 END AS bin
+              FROM sbc q JOIN st ON st.choice = q.choice) b GROUP BY b.choice, bin) r
+  JOIN (SELECT *, CASE WHEN 1.06 * sd * pow(CAST(n AS DOUBLE), -0.2) > 0 THEN 1.06 * sd * pow(CAST(n AS DOUBLE), -0.2) END AS bw,
+               coalesce(CASE WHEN 1.06 * sd * pow(CAST(n AS DOUBLE), -0.2) > 0 THEN 1.06 * sd * pow(CAST(n AS DOUBLE), -0.2) END, 0.0) AS sp
+        FROM st) s ON s.choice = r.choice
+  CROSS JOIN (SELECT CAST(range AS INTEGER) AS g FROM range(64)) gs) t GROUP BY choice, g""", "sbc", "st"))
 def weighted_density(spark, d):
     return round_doubles(SC.weighted_density(_sbc(spark, d), "choice", grid=64))
 
@@ -223,17 +238,33 @@ def sample_parameter_names(spark, d):
     return S.sample_parameter_names(_draws(spark, d), "alpha", 20, fx.SAMPLE_SEED)
 
 
-@q("race_parameter_table", W("""
-SELECT regexp_replace(array_to_string(list_transform(string_split(race, ' '),
-         lambda w: concat(upper(substr(w, 1, 1)), lower(substr(w, 2)))), ' '), '^Us', 'US') AS race,
-  round(avg(CASE WHEN variable = 'beta' THEN value END), 4) AS mean_beta,
-  round(stddev_samp(CASE WHEN variable = 'beta' THEN value END), 4) AS sd_beta,
-  round(avg(CASE WHEN variable = 'gamma' THEN value END), 4) AS mean_gamma,
-  round(stddev_samp(CASE WHEN variable = 'gamma' THEN value END), 4) AS sd_gamma
-FROM draws d JOIN flat f ON f.param_idx = d.idx WHERE d.variable IN ('beta', 'gamma') GROUP BY race""",
-    "draws", "flat"))
+_TITLE = """regexp_replace(array_to_string(list_transform(string_split(race, ' '),
+         lambda w: concat(upper(substr(w, 1, 1)), lower(substr(w, 2)))), ' '), '^Us', 'US')"""
+
+
+@q("race_parameter_table", W(f"""
+SELECT {_TITLE} AS race,
+  round(avg(CASE WHEN variable = 'diff' THEN value END), 4) AS mean_diff,
+  round(quantile_cont(CASE WHEN variable = 'diff' THEN value END, 0.5), 4) AS median_diff,
+  round(stddev_samp(CASE WHEN variable = 'diff' THEN value END), 4) AS sd_diff,
+  round(avg(CASE WHEN variable = 'disc' THEN value END), 4) AS mean_disc,
+  round(quantile_cont(CASE WHEN variable = 'disc' THEN value END, 0.5), 4) AS median_disc,
+  round(stddev_samp(CASE WHEN variable = 'disc' THEN value END), 4) AS sd_disc
+FROM mdraws d JOIN flat f ON f.param_idx = d.idx WHERE d.variable IN ('diff', 'disc') GROUP BY race""",
+    "mdraws", "flat"))
 def race_parameter_table(spark, d):
-    return round_doubles(SC.race_parameter_table(_draws(spark, d), _flat(spark, d)))
+    draws, _, flat = _model(spark, d)
+    return round_doubles(SC.race_parameter_table(draws, flat))
+
+
+@q("scaled_discrimination", W("""
+SELECT f.race, round(avg(exp(d.value) / s.sd), 4) AS mean, round(quantile_cont(exp(d.value) / s.sd, 0.5), 4) AS median, count(*) AS n_draws
+FROM mdraws d JOIN flat f ON f.param_idx = d.idx
+JOIN (SELECT draw, stddev_samp(value) AS sd FROM mdraws WHERE variable = 'alpha' GROUP BY draw) s ON s.draw = d.draw
+WHERE d.variable = 'diff' GROUP BY f.race""", "mdraws", "flat"))
+def scaled_discrimination(spark, d):
+    draws, _, flat = _model(spark, d)
+    return round_doubles(SC.scaled_discrimination(draws, flat, "diff"))
 
 
 @q("discrimination_by_type", W("""
@@ -243,17 +274,17 @@ SELECT partisan, race_type, round(quantile_cont(a, 0.5), 4) AS median,
 FROM (SELECT abs(d.value) AS a, regexp_replace(f.race, '_.*$', '') AS race_type,
         CASE WHEN p.party IS NULL THEN 'UNKNOWN' WHEN regexp_matches(p.party, 'nonpartisan', 'i') THEN 'NONPARTISAN'
              ELSE 'PARTISAN' END AS partisan
-      FROM draws d JOIN flat f ON f.param_idx = d.idx
+      FROM mdraws d JOIN flat f ON f.param_idx = d.idx
       LEFT JOIN (SELECT race, candidate,
                    CASE WHEN bool_or(party = 'democrat') THEN 'democrat' ELSE min(party) END AS party
                  FROM all_valid GROUP BY race, candidate) p ON p.race = f.race AND p.candidate = f.candidate
-      WHERE d.variable = 'gamma' AND (f.race, f.candidate) IN (
-        SELECT (f2.race, f2.candidate) FROM draws d2 JOIN flat f2 ON f2.param_idx = d2.idx
-        WHERE d2.variable = 'gamma' GROUP BY f2.race, f2.candidate HAVING avg(d2.value) <> 0)) x
-GROUP BY partisan, race_type""", "draws", "flat", "all_valid"))
+      WHERE d.variable = 'disc' AND (f.race, f.candidate) IN (
+        SELECT (f2.race, f2.candidate) FROM mdraws d2 JOIN flat f2 ON f2.param_idx = d2.idx
+        WHERE d2.variable = 'disc' GROUP BY f2.race, f2.candidate HAVING avg(d2.value) <> 0)) x
+GROUP BY partisan, race_type""", "mdraws", "flat", "all_valid"))
 def discrimination_by_type(spark, d):
-    parties = SC.candidate_party(I.all_valid(spark, d))
-    return round_doubles(SC.discrimination_by_type(_draws(spark, d), _flat(spark, d), parties))
+    draws, choices, flat = _model(spark, d)
+    return round_doubles(SC.discrimination_by_type(draws, flat, SC.candidate_party(choices)))
 
 
 def _district_attrs(spark, d):
@@ -265,12 +296,12 @@ def _district_attrs(spark, d):
 SELECT a.District_1, a.n_orders, round(s.ideal_mean, 4) AS ideal_mean, s.n_draws FROM (
   SELECT substr(o_orderpriority, 3) AS District_1, count(*) AS n_orders FROM orders GROUP BY 1) a
 JOIN (SELECT c.district, avg(d.value) AS ideal_mean, count(*) AS n_draws
-      FROM draws d JOIN choices c ON c.voter_id = d.idx
+      FROM mdraws d JOIN choices c ON c.voter_id = d.idx
       WHERE d.variable = 'alpha' AND c.office = '{SCORE_OFFICE}' AND c.district IS NOT NULL
-      GROUP BY c.district) s ON s.district = a.District_1""", "draws", "choices"))
+      GROUP BY c.district) s ON s.district = a.District_1""", "mdraws", "choices"))
 def district_scores(spark, d):
-    return round_doubles(SC.district_scores(_draws(spark, d), I.choices(spark, d), SCORE_OFFICE,
-                                            _district_attrs(spark, d)))
+    draws, choices, _ = _model(spark, d)
+    return round_doubles(SC.district_scores(draws, choices, SCORE_OFFICE, _district_attrs(spark, d)))
 
 
 _FITS_SQL = """
@@ -301,8 +332,8 @@ def compare_fits_correlation(spark, d):
     return round_doubles(SC.fits_correlation(dr, first))
 
 
-def _ext_scores(spark, d):
-    return SC.external_scores(fx.external_raw(spark, d), I.all_valid(spark, d), 2020)
+def _ext_scores(spark, d, choices=None):
+    return SC.external_scores(fx.external_raw(spark, d), I.all_valid(spark, d) if choices is None else choices, 2020)
 
 
 @q("external_scores", W("""
@@ -313,17 +344,40 @@ def external_scores(spark, d):
     return round_doubles(_ext_scores(spark, d), cfscore=6)
 
 
+@q("external_scores_prepared", W(f"""
+SELECT race, candidate, round(cfscore, 6) AS cfscore, round(dime_score, 4) AS dime_score FROM (
+  SELECT *, count(*) OVER (PARTITION BY race) AS nr FROM (
+    SELECT concat(office, '_', CASE WHEN length(district) >= 6 THEN district ELSE lpad(district, 6, '0') END) AS race, candidate,
+           min(cfscore) AS cfscore, min(dime_score) AS dime_score
+    FROM (SELECT *, (cfscore - avg(cfscore) OVER ()) / stddev_samp(cfscore) OVER () AS dime_score
+          FROM ({{fx_rows}}) r WHERE cycle = 2020 AND office IS NOT NULL AND pwinner <> 'L' AND state IN ('CO', '00')) z
+    GROUP BY office, district, candidate) y
+  WHERE race IN (SELECT concat(office, '_', CASE WHEN length(district) >= 6 THEN district ELSE lpad(district, 6, '0') END)
+                 FROM all_valid WHERE district IS NOT NULL)) x WHERE nr >= 2""".replace("{fx_rows}", fx.SEAT_ROWS_SQL), "all_valid"))
+def external_scores_prepared(spark, d):
+    """External scores from published rows: seats recoded, losers and other states left
+    out, districts padded as the contest dictionary pads them."""
+    rows = SC.external_seats(fx.external_seat_rows(spark, d), 2020, ("CO", "00"), fx.STANDIN_SEATS)
+    races = I.all_valid(spark, d).select(tx.str_c(F.col("office"), tx.pad_left("district", 6), sep="_").alias("race"))
+    return round_doubles(SC.external_scores(rows, races, None, pad_width=6), cfscore=6)
+
+
 @q("voters_vs_external", W("""
-SELECT e.race, e.candidate, round(e.dime_score, 4) AS dime_score, c.voter_id, d.draw,
-  round(d.value / (SELECT stddev_samp(value) FROM draws WHERE variable = 'alpha'), 4) AS alpha
-FROM ext_scores e JOIN choices c ON c.race = e.race AND c.candidate = e.candidate
-JOIN draws d ON d.idx = c.voter_id AND d.variable = 'alpha'""", "ext_scores", "choices", "draws"))
+SELECT race, candidate, round(dime_score, 4) AS dime_score, draw, count(*) AS n_voters, round(avg(x), 4) AS mean_alpha,
+  round(stddev_samp(x), 4) AS sd_alpha
+FROM (SELECT e.race, e.candidate, e.dime_score, d.draw,
+        d.value / (SELECT stddev_samp(value) FROM mdraws WHERE variable = 'alpha') AS x
+      FROM ext_scores e JOIN choices c ON c.race = e.race AND c.candidate = e.candidate
+      JOIN mdraws d ON d.idx = c.voter_id AND d.variable = 'alpha') j
+GROUP BY race, candidate, dime_score, draw""", "ext_scores", "choices", "mdraws"))
 def voters_vs_external(spark, d):
-    return round_doubles(SC.voters_vs_external(_draws(spark, d), _ext_scores(spark, d), I.choices(spark, d)))
+    draws, choices, _ = _model(spark, d)
+    return round_doubles(SC.voters_vs_external(draws, _ext_scores(spark, d, choices), choices))
 
 
 def _scored(spark, d):
-    return SC.scored_candidates(_ext_scores(spark, d), _cand_scores(spark, d))
+    model = _model(spark, d)
+    return SC.scored_candidates(_ext_scores(spark, d, model[1]), _cand_scores(model))
 
 
 @q("cutpoints", W("""
@@ -351,45 +405,145 @@ def normality_check(spark, d):
 
 @q("modal_sign", W("SELECT * FROM modal", "modal"))
 def modal_sign(spark, d):
-    return DR.modal_sign(_draws(spark, d))
+    return DR.modal_sign(_draws(spark, d), "gamma")
+
+
+# In the flipped stand-in the draws divisible by three are turned around, fewer than half, so
+# the alignment must find exactly these.
+_FLIP = "CASE WHEN draw % 3 = 0 THEN -1 ELSE 1 END"
+
+
+@q("align_signs_flipped", W(f"""
+SELECT DISTINCT draw, CAST({_FLIP} AS BIGINT) AS sign, true AS converged FROM mdraws""", "mdraws"))
+def align_signs_flipped(spark, d):
+    draws, _, _ = _model(spark, d, flipped=True)
+    signs, _, converged = DR.align_signs(draws, "disc")
+    return signs.withColumn("converged", F.lit(converged))
 
 
-@q("before_after_alignment", W("""
+@q("alignment_round", W("""
+SELECT x.draw, CAST(CASE WHEN sum(x.value * r.ref) < 0 THEN -1 ELSE 1 END AS BIGINT) AS sign
+FROM draws x JOIN (SELECT idx, avg(value * CASE WHEN draw % 2 = 0 THEN 1 ELSE -1 END) AS ref FROM draws
+                   WHERE variable = 'gamma' GROUP BY idx) r ON r.idx = x.idx
+WHERE x.variable = 'gamma' GROUP BY x.draw""", "draws"))
+def alignment_round(spark, d):
+    """One round from fixed signs (even draws +1, odd draws -1)."""
+    x = _draws(spark, d).where(F.col("variable") == "gamma").select("draw", "idx", "value")
+    signs = x.select("draw", F.when(F.col("draw") % 2 == 0, 1).otherwise(-1).alias("sign")).distinct()
+    return DR.alignment_round(x, signs)
+
+
+@q("before_after_alignment", W(f"""
 SELECT t.type, d.draw, d.idx,
-  CASE WHEN d.idx IN (SELECT param_idx FROM flat WHERE candidate_id = 1) THEN 0.0
-       ELSE d.value * (CASE WHEN t.type = 'After alignment' THEN m.sign ELSE 1 END) END AS value
-FROM draws d JOIN modal m ON m.draw = d.draw
+  CASE WHEN f.candidate_id = 1 THEN 0.0
+       ELSE round(d.value * (CASE WHEN t.type = 'Before alignment' THEN {_FLIP} ELSE 1 END), 4) END AS value
+FROM mdraws d JOIN flat f ON f.param_idx = d.idx
 CROSS JOIN (SELECT 'Before alignment' AS type UNION ALL SELECT 'After alignment') t
-WHERE d.variable = 'gamma'""", "draws", "modal", "flat"))
+WHERE d.variable = 'disc'""", "mdraws", "flat"))
 def before_after_alignment(spark, d):
-    dr = _draws(spark, d)
-    refs = _flat(spark, d).where(F.col("candidate_id") == 1).select(F.col("param_idx").alias("idx"))
-    return DR.before_after(dr, DR.modal_sign(dr), refs)
+    draws, _, flat = _model(spark, d, flipped=True)
+    refs = flat.where(F.col("candidate_id") == 1).select(F.col("param_idx").alias("idx"))
+    signs, _, _ = DR.align_signs(draws, "disc")
+    return round_doubles(DR.before_after(draws, signs, refs))
 
 
 @q("candidate_parameters", W("""
 SELECT f.race, f.candidate, f.candidate_id, d.variable AS parameter,
   round(avg(CASE WHEN f.candidate_id = 1 THEN 0.0 ELSE d.value END), 4) AS value, count(*) AS n_draws
-FROM draws d JOIN flat f ON f.param_idx = d.idx WHERE d.variable IN ('gamma', 'beta')
-GROUP BY f.race, f.candidate, f.candidate_id, d.variable""", "draws", "flat"))
+FROM mdraws d JOIN flat f ON f.param_idx = d.idx WHERE d.variable IN ('disc', 'diff')
+GROUP BY f.race, f.candidate, f.candidate_id, d.variable""", "mdraws", "flat"))
 def candidate_parameters(spark, d):
-    return round_doubles(DR.candidate_parameters(_draws(spark, d), _flat(spark, d)))
-
-
-@q("rank_rhat")
+    draws, _, flat = _model(spark, d)
+    return round_doubles(DR.candidate_parameters(draws, flat))
+
+
+_NAME = """concat(s.variable, CASE WHEN s.idx2 IS NOT NULL THEN concat('[', s.idx, ',', s.idx2, ']')
+  WHEN s.idx IS NOT NULL THEN concat('[', s.idx, ']') ELSE '' END)"""
+
+
+def _named(df):
+    """Parameters by their full name instead of variable and indices, which may be NULL."""
+    return df.withColumn("parameter", tx.parameter_name("variable", "idx", "idx2")).drop("variable", "idx", "idx2")
+
+
+@q("draws_from_wide", W(f"SELECT chain, iteration, draw, {_NAME} AS parameter, value FROM wide s", "wide"))
+def draws_from_wide(spark, d):
+    return _named(DR.draws_from_wide(fx.wide_draws(spark, d)))
+
+
+def _phi(p: str) -> str:
+    """Inverse normal CDF of a SQL expression, by the same rational formula."""
+    def poly(x, c):
+        out = repr(c[0])
+        for k in c[1:]:
+            out = f"({out} * {x} + {k!r})"
+        return out
+    q, r = f"({p} - 0.5)", f"(({p} - 0.5) * ({p} - 0.5))"
+
+    def tail(x):
+        t = f"sqrt(-2 * ln({x}))"
+        return f"({poly(t, D._C)} / ({poly(t, D._D)} * {t} + 1))"
+    return (f"CASE WHEN {p} < {D._LOW} THEN {tail(p)} WHEN {p} > 1 - {D._LOW} THEN -{tail(f'(1 - {p})')} "
+            f"ELSE {poly(r, D._A)} * {q} / ({poly(r, D._B)} * {r} + 1) END")
+
+
+def _rank_rhat_sql(source: str) -> dict:
+    """CTEs of the rank-normalised split R-hat of a draws CTE with idx2; ``rank_rh`` last."""
+    key = "variable, idx, idx2"
+    same = " AND ".join(f"{{a}}.{k} IS NOT DISTINCT FROM {{b}}.{k}" for k in ("variable", "idx", "idx2"))
+    rhat = lambda v: f"""
+      SELECT {key}, sqrt(((min(n) - 1.0) / min(n) * avg(v) + var_samp(m)) / avg(v)) AS rhat FROM (
+        SELECT {key}, chain, half, avg({v}) AS m, var_samp({v}) AS v, count(*) AS n FROM rscore GROUP BY {key}, chain, half) h
+      GROUP BY {key}"""
+    return {
+        "rhalf": (f"""
+SELECT *, abs(value - med) AS folded FROM (
+  SELECT *, CASE WHEN rn <= n // 2 THEN 0 WHEN rn > n - n // 2 THEN 1 END AS half FROM (
+    SELECT *, row_number() OVER (PARTITION BY {key}, chain ORDER BY iteration) AS rn, count(*) OVER (PARTITION BY {key}, chain) AS n,
+           quantile_cont(value, 0.5) OVER (PARTITION BY {key}) AS med FROM {source}) a) b WHERE half IS NOT NULL""", [source]),
+        "rscore": (f"""
+SELECT *, {_phi('p1')} AS z, {_phi('p2')} AS zf FROM (
+  SELECT *, (r1 + (t1 - 1) / 2.0 - 0.375) / (s + 0.25) AS p1, (r2 + (t2 - 1) / 2.0 - 0.375) / (s + 0.25) AS p2 FROM (
+    SELECT *, rank() OVER (PARTITION BY {key} ORDER BY value) AS r1, count(*) OVER (PARTITION BY {key}, value) AS t1,
+           rank() OVER (PARTITION BY {key} ORDER BY folded) AS r2, count(*) OVER (PARTITION BY {key}, folded) AS t2,
+           count(*) OVER (PARTITION BY {key}) AS s FROM rhalf) a) b""", ["rhalf"]),
+        "rank_rh": (f"""
+SELECT a.variable, a.idx, a.idx2, greatest(a.rhat, b.rhat) AS rhat FROM ({rhat('z')}) a JOIN ({rhat('zf')}) b
+  ON {same.format(a='a', b='b')}""", ["rscore"]),
+    }
+
+
+@q("rank_rhat", with_ctes("SELECT variable, idx, round(rhat, 4) AS rhat FROM rank_rh", extra={
+    "d3": ("SELECT *, CAST(NULL AS BIGINT) AS idx2 FROM draws", ["draws"]), **_rank_rhat_sql("d3")}))
 def rank_rhat(spark, d):
-    """Rows-only: rank-normalised split R-hat per parameter (pandas per parameter)."""
-    return round_doubles(D.rank_diagnostics(_draws(spark, d)).select("variable", "idx", "rhat"))
+    """Rank-normalised split R-hat per parameter."""
+    return round_doubles(D.rank_rhat(_draws(spark, d)))
+
+
+@q("summarise_wide_draws", with_ctes(f"""
+SELECT {_NAME} AS parameter, round(mean, 4) AS mean, round(median, 4) AS median, round(sd, 4) AS sd,
+       round(mad, 4) AS mad, round(q5, 4) AS q5, round(q95, 4) AS q95, round(r.rhat, 4) AS rhat
+FROM (SELECT variable, idx, idx2, avg(value) AS mean, quantile_cont(value, 0.5) AS median, stddev_samp(value) AS sd,
+        quantile_cont(value, 0.05) AS q5, quantile_cont(value, 0.95) AS q95 FROM wide GROUP BY variable, idx, idx2) s
+JOIN (SELECT variable, idx, idx2, quantile_cont(abs(value - med), 0.5) * 1.4826 AS mad
+      FROM (SELECT *, quantile_cont(value, 0.5) OVER (PARTITION BY variable, idx, idx2) AS med FROM wide) m
+      GROUP BY variable, idx, idx2) t
+  ON s.variable = t.variable AND s.idx IS NOT DISTINCT FROM t.idx AND s.idx2 IS NOT DISTINCT FROM t.idx2
+JOIN rank_rh r ON s.variable = r.variable AND s.idx IS NOT DISTINCT FROM r.idx AND s.idx2 IS NOT DISTINCT FROM r.idx2""",
+    extra={"wide": (fx.WIDE_LONG_SQL, []), **_rank_rhat_sql("wide")}))
+def summarise_wide_draws(spark, d):
+    """Complete summary of draws that hold scalars and parameters of one and two indices."""
+    return round_doubles(_named(D.summarise_all(DR.draws_from_wide(fx.wide_draws(spark, d)))))
 
 
 @q("ess")
 def ess(spark, d):
     """Rows-only: bulk and tail effective sample sizes per parameter."""
-    return round_doubles(D.rank_diagnostics(_draws(spark, d)).select("variable", "idx", "ess_bulk", "ess_tail"))
+    return round_doubles(D.ess(_draws(spark, d)))
 
 
 @q("align_signs")
 def align_signs(spark, d):
     """Rows-only: per-draw signs from the iterative alignment of the loadings."""
-    signs, rounds = DR.align_signs(_draws(spark, d), "gamma")
-    return signs.withColumn("rounds", F.lit(rounds).cast("long"))
+    signs, rounds, converged = DR.align_signs(_draws(spark, d), "gamma")
+    return signs.select("draw", "sign", F.lit(rounds).cast("long").alias("rounds"), F.lit(converged).alias("converged"))

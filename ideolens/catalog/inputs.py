@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..operators import encode as E
 from ..operators import votes as V
+from ..session import cut_lineage
 from ..sources import fixtures as fx
 
 
@@ -37,26 +38,33 @@ def all_valid(spark: SparkSession, d: str) -> DataFrame:
     return V.valid_votes(cvr(spark, d))
 
 
-def sample(spark: SparkSession, d: str, n: int = fx.SAMPLE_N, partisan_only: bool = False) -> DataFrame:
+def sample(spark: SparkSession, d: str, n: int = fx.SAMPLE_N, partisan_only: bool = False,
+           min_votes: int = fx.SAMPLE_MIN_VOTES) -> DataFrame:
     return V.get_votes(cvr(spark, d), fx.compare(spark, d), fx.SAMPLE_STATE, fx.SAMPLE_PROP, n,
-                       fx.SAMPLE_MIN_VOTES, fx.SAMPLE_SEED, partisan_only=partisan_only)
+                       min_votes, fx.SAMPLE_SEED, partisan_only=partisan_only)
 
 
-def encoded(spark: SparkSession, d: str):
-    """(votes, ids, voters, data) for all valid votes."""
-    data = all_valid(spark, d)
-    ids = E.candidate_ids(data, "democrat")
+def choices_and_ids(spark: SparkSession, d: str):
+    """(choices, ids, voters): valid votes with voter and candidate ids, encoded once and
+    written, so that everything built on them reads the same table."""
+    data = cut_lineage(all_valid(spark, d))
+    ids = cut_lineage(E.candidate_ids(data, "democrat"))
     voters = E.voter_ids(data)
-    votes = E.ragged_votes(data, ids, voters)
-    return votes, ids, voters, data
+    rows = (data.join(voters, V.VOTER_KEY).join(ids, ["race", "candidate"])
+                .select("voter_id", "state", "county_name", "cvr_id", "race", "office", "district",
+                        "candidate", "party", "race_id", "candidate_id"))
+    return cut_lineage(rows), ids, voters
+
+
+def encoded(spark: SparkSession, d: str):
+    """(votes, ids, voters, choices) for all valid votes."""
+    rows, ids, voters = choices_and_ids(spark, d)
+    return rows.select("voter_id", "race_id", "candidate_id"), ids, voters, rows
 
 
 def choices(spark: SparkSession, d: str) -> DataFrame:
     """Valid votes with voter ids and candidate ids attached."""
-    votes, ids, voters, data = encoded(spark, d)
-    return (data.join(voters, V.VOTER_KEY).join(ids, ["race", "candidate"])
-                .select("voter_id", "state", "county_name", "cvr_id", "race", "office", "district",
-                        "candidate", "party", "race_id", "candidate_id"))
+    return choices_and_ids(spark, d)[0]
 
 
 # ----------------------------------------------------------------- SQL side

@@ -28,7 +28,7 @@ def q(name, sql=None):
 
 
 def _fixed(spark, d):
-    votes, ids, voters, data = I.encoded(spark, d)
+    votes, ids, voters, _ = I.encoded(spark, d)
     return votes, ids, voters, M.fixed_alpha(voters), M.fixed_candidate_params(ids)
 
 
@@ -92,7 +92,7 @@ _DIMS_EXTRA["pv"] = (_vote_sql("p.disc0 * a.alpha0 + p.disc1 * a.alpha1 - p.diff
 
 @q("loglik_dims", with_ctes(_LL_FINAL, "votes", extra=_DIMS_EXTRA))
 def loglik_dims(spark, d):
-    votes, ids, voters, data = I.encoded(spark, d)
+    votes, ids, voters, _ = I.encoded(spark, d)
     return round_doubles(M.loglik(votes, M.fixed_alpha_dims(voters), M.fixed_candidate_params_dims(ids), "dims"))
 
 
@@ -174,6 +174,68 @@ def log_prior(spark, d):
     return round_doubles(M.log_prior(alpha, params, M.FIXED_MEAN_DIFF, M.FIXED_SIGMA_DIFF, M.FIXED_SIGMA_DISC))
 
 
+_BERN_PARTS = {
+    "brace": ("""SELECT DISTINCT race_id, CAST((race_id * 5) % 11 - 5 AS DOUBLE) / 10 AS r_race,
+      CAST((race_id * 3) % 9 - 4 AS DOUBLE) / 8 AS loggamma, CAST((race_id * 7) % 13 - 6 AS DOUBLE) / 6 AS beta FROM votes""", ["votes"]),
+}
+# Intercepts and standard deviations of the Bernoulli priors' oracle rows.
+BERN_1PL = ((M.FIXED_B0,), (0.7, 1.2))
+BERN_2PL = ((0.3, -0.1), (1.1, 0.9, 0.6))
+
+
+def _normal_sql(x: str, mu: float, sd: float) -> str:
+    return f"(-{_LN2PI!r} - ln({sd}) - 0.5 * (({x} - {mu}) / {sd}) * (({x} - {mu}) / {sd}))"
+
+
+def _bern_prior_sql(race: str, sd_voter: float, hyper: float) -> str:
+    return with_ctes(f"""
+SELECT round(lr + lv + {hyper!r}, 4) AS log_prior, round(lr, 4) AS lp_race, round(lv, 4) AS lp_voter
+FROM (SELECT sum({race}) AS lr FROM brace) r, (SELECT sum({_normal_sql('alpha', 0.0, sd_voter)}) AS lv FROM alpha) v""",
+                     "alpha", extra=_BERN_PARTS)
+
+
+def _bern_prior(spark, d, model, values):
+    votes, _, _, _ = I.encoded(spark, d)
+    race_p, voter_p = M.fixed_bernoulli_params(votes.select("voter_id", "race_id"))
+    return round_doubles(M.log_prior_bernoulli(race_p, voter_p, model, *values))
+
+
+@q("log_prior_bernoulli_1pl", _bern_prior_sql(
+    _normal_sql("r_race", 0.0, BERN_1PL[1][0]), BERN_1PL[1][1],
+    M.normal_lpdf_value(BERN_1PL[0][0], 0.0, 2.0) + sum(M.half_normal_lpdf_value(x, 3.0) for x in BERN_1PL[1])))
+def log_prior_bernoulli_1pl(spark, d):
+    return _bern_prior(spark, d, "1pl", BERN_1PL)
+
+
+@q("log_prior_bernoulli_2pl", _bern_prior_sql(
+    _normal_sql("beta", BERN_2PL[0][0], BERN_2PL[1][1]) + " + " + _normal_sql("loggamma", BERN_2PL[0][1], BERN_2PL[1][2]), BERN_2PL[1][0],
+    M.normal_lpdf_value(BERN_2PL[0][0], 0.0, 2.0) + M.normal_lpdf_value(BERN_2PL[0][1], 0.0, 1.0)
+    + sum(M.half_normal_lpdf_value(x, s) for x, s in zip(BERN_2PL[1], (1.0, 3.0, 1.0)))))
+def log_prior_bernoulli_2pl(spark, d):
+    return _bern_prior(spark, d, "2pl", BERN_2PL)
+
+
+@q("bernoulli_probabilities", with_ctes("""
+SELECT v.voter_id, v.race_id, round(1 / (1 + exp(-(exp(b.loggamma) * a.alpha - b.beta))), 4) AS prob
+FROM votes v JOIN brace b ON b.race_id = v.race_id JOIN alpha a ON a.voter_id = v.voter_id""", "votes", "alpha", extra=_BERN_PARTS))
+def bernoulli_probabilities(spark, d):
+    votes, _, _, _ = I.encoded(spark, d)
+    race_p, voter_p = M.fixed_bernoulli_params(votes.select("voter_id", "race_id"))
+    return round_doubles(M.bernoulli_probabilities(votes, race_p, voter_p))
+
+
+@q("log_prior_1pl", with_ctes(f"""
+SELECT round((SELECT sum({_normal_sql('alpha', 0.0, 1.0)}) FROM alpha)
+  + (SELECT sum(-{_LN2PI!r} - ln(s) - 0.5 * (diff / s) * (diff / s)) FROM (SELECT diff, 0.5 + race_id / 10.0 AS s FROM params) b)
+  + (SELECT sum(-ln(pi()) - ln(5.0) - ln(1 + (s / 5.0) * (s / 5.0))) FROM (SELECT DISTINCT race_id, 0.5 + race_id / 10.0 AS s FROM params) k)
+  + (-ln(pi()) - ln(5.0) - ln(1 + ({M.FIXED_MU} / 5.0) * ({M.FIXED_MU} / 5.0))), 4) AS log_prior""", "alpha", "params"))
+def log_prior_1pl(spark, d):
+    _, _, _, alpha, params = _fixed(spark, d)
+    beta = params.select("race_id", "candidate_id", F.col("diff").alias("beta"))
+    sigma = params.select("race_id", (0.5 + F.col("race_id") / 10.0).alias("sigma_beta")).distinct()
+    return round_doubles(M.log_prior_1pl(alpha, beta, M.FIXED_MU, sigma))
+
+
 _PROB_EXTRA = {"pu": (f"""
 SELECT v.voter_id, v.race_id, v.candidate_id AS y, p.candidate_id AS c, a.alpha, p.disc, p.diff,
        {_SLOPE} AS u
@@ -216,10 +278,17 @@ def gradient_candidate(spark, d):
     return round_doubles(M.gradient_candidate(votes, alpha, params))
 
 
-@q("whiten")
+@q("whiten", with_ctes("""
+SELECT a.voter_id, round((a.alpha0 - m0) * l11 + (a.alpha1 - m1) * l21, 4) AS dim1, round((a.alpha1 - m1) * l22, 4) AS dim2
+FROM alpha2 a, (
+  SELECT m0, m1, sqrt(i11) AS l11, i12 / sqrt(i11) AS l21, sqrt(i22 - i12 * i12 / i11) AS l22 FROM (
+    SELECT m0, m1, c11 / (c00 * c11 - c01 * c01) AS i11, -c01 / (c00 * c11 - c01 * c01) AS i12,
+           c00 / (c00 * c11 - c01 * c01) AS i22 FROM (
+      SELECT avg(alpha0) AS m0, avg(alpha1) AS m1, covar_samp(alpha0, alpha0) AS c00, covar_samp(alpha0, alpha1) AS c01,
+             covar_samp(alpha1, alpha1) AS c11 FROM alpha2) c) i) w""", extra={"alpha2": _DIMS_EXTRA["alpha2"]}))
 def whiten(spark, d):
-    """Rows-only: whitened two-dimensional voter positions (mean 0, identity covariance)."""
-    votes, ids, voters, data = I.encoded(spark, d)
+    """Whitened two-dimensional voter positions (mean 0, identity covariance)."""
+    _, _, voters, _ = I.encoded(spark, d)
     return round_doubles(M.whiten(M.fixed_alpha_dims(voters), M.FIXED_DIMS)
                          .select("voter_id", F.col("alpha")[0].alias("dim1"), F.col("alpha")[1].alias("dim2")))
 

@@ -10,6 +10,7 @@ from ..operators import encode as E
 from ..operators import relational as R
 from ..operators import sampling as S
 from ..operators import votes as V
+from ..session import cut_lineage
 from ..sources import fixtures as fx
 from . import inputs as I
 from .inputs import round_doubles, with_ctes
@@ -86,18 +87,18 @@ def get_votes_partisan(spark, d):
     return I.sample(spark, d, partisan_only=True)
 
 
-@q("get_votes_capped", with_ctes("""
+@q("get_votes_capped", with_ctes(f"""
 SELECT s.* FROM base s
 JOIN svoters_tight v ON s.state = v.state AND s.county_name = v.county_name AND s.cvr_id = v.cvr_id
 JOIN (SELECT race FROM (SELECT DISTINCT race, candidate FROM base) c
       WHERE NOT EXISTS (SELECT 1 FROM (
           SELECT race, candidate FROM base b2
           JOIN svoters_tight v2 ON b2.state = v2.state AND b2.county_name = v2.county_name AND b2.cvr_id = v2.cvr_id
-          GROUP BY race, candidate HAVING count(*) <= 10) s2
+          GROUP BY race, candidate HAVING count(*) <= {fx.CAPPED_MIN_VOTES}) s2
         WHERE s2.race = c.race AND s2.candidate = c.candidate)
       GROUP BY race HAVING count(*) > 1) k ON s.race = k.race""", "base", "svoters_tight"))
 def get_votes_capped(spark, d):
-    return I.sample(spark, d, n=fx.SAMPLE_N_TIGHT)
+    return I.sample(spark, d, n=fx.SAMPLE_N_TIGHT, min_votes=fx.CAPPED_MIN_VOTES)
 
 
 @q("filter_county", with_ctes(f"""
@@ -131,7 +132,9 @@ def voter_ids(spark, d):
 
 @q("ragged_votes", with_ctes("SELECT * FROM votes", "votes"))
 def ragged_votes(spark, d):
-    return I.encoded(spark, d)[0]
+    data = cut_lineage(I.all_valid(spark, d))
+    votes, _, _ = E.encode(data)
+    return votes
 
 
 @q("contest_sizes", with_ctes("""
@@ -147,13 +150,15 @@ def contest_sizes(spark, d):
 
 
 @q("dense_votes", with_ctes("""
-SELECT voter_id, COALESCE(COLUMNS(* EXCLUDE (voter_id)), 0)
-FROM (PIVOT (SELECT voter_id, race_id, candidate_id FROM votes)
-      ON race_id USING first(candidate_id) GROUP BY voter_id)""", "votes"))
+SELECT v.voter_id, string_agg(CAST(coalesce(x.candidate_id, 0) AS VARCHAR), ',' ORDER BY r.race_id) AS choices
+FROM (SELECT DISTINCT voter_id FROM votes) v CROSS JOIN (SELECT DISTINCT race_id FROM cand_ids) r
+LEFT JOIN (SELECT voter_id, race_id, min(candidate_id) AS candidate_id FROM votes GROUP BY voter_id, race_id) x
+  ON x.voter_id = v.voter_id AND x.race_id = r.race_id
+GROUP BY v.voter_id""", "votes", "cand_ids"))
 def dense_votes(spark, d):
     votes, ids, _, _ = I.encoded(spark, d)
-    race_list = [r[0] for r in ids.select("race_id").distinct().orderBy("race_id").collect()]
-    return E.dense_votes(votes, race_list)
+    dense = E.dense_votes(votes, ids)
+    return dense.select("voter_id", F.array_join(F.transform("choices", lambda x: x.cast("string")), ",").alias("choices"))
 
 
 _BALLOTS_SQL = """
@@ -260,12 +265,14 @@ def _contests_spark(spark, d):
     district = (F.when(F.col("district").isNull(), F.lit("STATEWIDE"))
                  .when(F.col("district") == "MEDIUM", F.lit("COUNTY_NAME"))
                  .otherwise(F.col("district")))
-    return c.select("state", "county_name", V.race_key().alias("contest"),
+    # large offices are written with a character that the dictionary drops
+    contest = F.concat(V.race_key(), F.when(F.col("office") == "large", F.lit("\u00e9")).otherwise(F.lit("")))
+    return c.select("state", "county_name", contest.alias("contest"),
                     F.col("office"), district.alias("district")).distinct()
 
 
 _CONTESTS_SQL = f"""
-SELECT DISTINCT state, county_name, {I.RACE_SQL} AS contest, office,
+SELECT DISTINCT state, county_name, concat({I.RACE_SQL}, CASE WHEN office = 'large' THEN chr(233) ELSE '' END) AS contest, office,
   CASE WHEN district IS NULL THEN 'STATEWIDE' WHEN district = 'MEDIUM' THEN 'COUNTY_NAME' ELSE district END AS district
 FROM cvr WHERE office IS NOT NULL"""
 PAD_STANDIN = ("SMALL", "LARGE")
@@ -343,6 +350,32 @@ def sample_report(spark, d):
     return V.sample_report(I.encoded(spark, d)[0])
 
 
+_ALL_CHOICES = f"""SELECT *, {I.RACE_SQL} AS race FROM cvr WHERE office IS NOT NULL"""
+
+
+@q("all_choice_ids", with_ctes("""
+SELECT race, candidate, CAST(row_number() OVER (PARTITION BY race ORDER BY n DESC, candidate) AS BIGINT) AS candidate_id,
+  CAST(dense_rank() OVER (ORDER BY race) AS BIGINT) AS race_id
+FROM (SELECT race, candidate, count(*) AS n FROM allc WHERE candidate <> 'UNDERVOTE' GROUP BY race, candidate) c""", "cvr",
+    extra={"allc": (_ALL_CHOICES, ["cvr"])}))
+def all_choice_ids(spark, d):
+    rows = I.cvr(spark, d).where(F.col("office").isNotNull()).withColumn("race", V.race_key())
+    return E.all_choice_ids(rows)
+
+
+@q("vote_sequence", with_ctes("""
+SELECT state, county_name, cvr_id, race, candidate,
+  CAST(row_number() OVER (PARTITION BY state, county_name, cvr_id ORDER BY race, candidate) AS BIGINT) AS seq FROM all_valid""", "all_valid"))
+def vote_sequence(spark, d):
+    return E.vote_sequence(I.all_valid(spark, d).select("state", "county_name", "cvr_id", "race", "candidate"))
+
+
+@q("candidate_numbers", with_ctes("""
+SELECT DISTINCT candidate, CAST(regexp_extract(candidate, '[0-9]+') AS BIGINT) AS number FROM all_valid""", "all_valid"))
+def candidate_numbers(spark, d):
+    return I.all_valid(spark, d).select("candidate", tx.extract_int("candidate").alias("number")).distinct()
+
+
 @q("group_size_filter", with_ctes("""
 SELECT a.state, a.county_name, a.cvr_id, a.race, a.candidate FROM all_valid a
 WHERE (a.race, a.candidate) IN (SELECT (race, candidate) FROM all_valid GROUP BY race, candidate HAVING count(*) > 100)""",

@@ -139,6 +139,8 @@ def not_in(col, values) -> Column:
     return ~F.coalesce(_c(col).isin(list(values)), F.lit(False))
 
 
-def indexed_name(name: str, idx) -> Column:
-    """``alpha[7]`` style parameter names."""
-    return F.concat(F.lit(f"{name}["), _c(idx).cast("string"), F.lit("]"))
+def parameter_name(variable, *indices) -> Column:
+    """``alpha[7]``, ``disc[1,2]`` or, without indices, the bare name; NULL indices
+    are left out."""
+    inner = F.concat_ws(",", *[_c(i).cast("string") for i in indices])
+    return F.when(inner == "", _c(variable)).otherwise(F.concat(_c(variable), F.lit("["), inner, F.lit("]")))

@@ -86,14 +86,40 @@ def flat_parameter_index(ids: DataFrame) -> DataFrame:
         "param_idx", (F.col("param_offset") + F.col("candidate_id")).cast("long")).drop("param_offset")
 
 
-def dense_votes(votes: DataFrame, race_id_values=None) -> DataFrame:
-    """C11: voter x contest matrix, 0 where the voter did not vote.  One column per
-    contest id; pass the contest ids (the contest dimension) to skip the extra
-    distinct job."""
-    if race_id_values is None:
-        race_id_values = [r[0] for r in votes.select("race_id").distinct().orderBy("race_id").collect()]
-    wide = votes.groupBy("voter_id").pivot("race_id", list(race_id_values)).agg(F.first("candidate_id"))
-    return wide.fillna(0)
+def dense_votes(votes: DataFrame, ids: DataFrame) -> DataFrame:
+    """C11: voter x contest matrix as one array column ``choices``: entry k is the
+    candidate id of the voter's choice in the k-th contest of ``ids``, 0 where the
+    voter did not vote.
+
+    The width comes from the contest dimension without naming a column for each
+    contest, so it can hold any number of contests.  Contest ids are 1..K (W2);
+    the entries of a voter are merged as a map, whose size is bounded by the
+    ballot, and spread over the array by one pass per voter."""
+    width = ids.agg(F.coalesce(F.max("race_id"), F.lit(0)).cast("int").alias("_k"))
+    per = votes.groupBy("voter_id").agg(F.array_sort(F.collect_set(F.struct("race_id", "candidate_id"))).alias("_v"))
+    # one row: the number of contests
+    t = per.join(F.broadcast(width))
+
+    def fill(state, x):
+        """Zeros up to the contest of x, then its choice; a second choice is left out."""
+        gap = (x["race_id"] - F.size(state) - 1).cast("int")
+        return F.when(gap < 0, state).otherwise(F.concat(state, F.array_repeat(F.lit(0).cast("long"), gap), F.array(x["candidate_id"])))
+
+    head = F.aggregate("_v", F.array().cast("array<bigint>"), fill)
+    return t.withColumn("_h", head).select("voter_id", F.concat(
+        "_h", F.array_repeat(F.lit(0).cast("long"), (F.col("_k") - F.size("_h")).cast("int"))).alias("choices"))
+
+
+def all_choice_ids(data: DataFrame, undervote: str = "UNDERVOTE") -> DataFrame:
+    """Candidate ids over every recorded choice but exact undervotes (write-ins
+    and overvotes stay), most frequent first within a race, ties by name."""
+    return candidate_ids(data.where(F.col("candidate") != undervote), "plurality")
+
+
+def vote_sequence(data: DataFrame, key=VOTER_KEY) -> DataFrame:
+    """Number of each choice within its voter, in the order of race and candidate."""
+    w = Window.partitionBy(*key).orderBy("race", "candidate")
+    return data.withColumn("seq", F.row_number().over(w).cast("long"))
 
 
 def ballots(data: DataFrame, key=VOTER_KEY) -> DataFrame:

@@ -56,8 +56,7 @@ def dense_ids(df: DataFrame, order_cols, id_col: str = "id", partitions: int | N
 
     The range bounds are sampled from the input in arrival order, which after a
     shuffle is not fixed, so two evaluations can cut the key space differently.
-    The partitioned, locally numbered rows are therefore written once (reliable
-    checkpoint) and both the per-partition counts and the numbering read that
+    The partitioned, locally numbered rows are therefore written once and both the per-partition counts and the numbering read that
     copy; otherwise a re-planned or recomputed branch could disagree on ids."""
     order_cols = list(order_cols)
     spark = df.sparkSession
@@ -66,8 +65,7 @@ def dense_ids(df: DataFrame, order_cols, id_col: str = "id", partitions: int | N
         df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
           .withColumn("_pid", F.spark_partition_id())
           .withColumn("_local", F.monotonically_increasing_id()
-                      - F.shiftleft(F.spark_partition_id().cast("long"), 33)),
-        keep_partitioning=False)
+                      - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     offsets = counts.select(
         "_pid",
@@ -82,33 +80,59 @@ def dense_ids(df: DataFrame, order_cols, id_col: str = "id", partitions: int | N
 def group_quantiles(df: DataFrame, by, value_col: str, probs: dict) -> DataFrame:
     """Exact quantiles (linear interpolation, R type 7, as Spark's
     ``percentile``) of ``value_col`` per group; ``probs`` maps output column
-    names to probabilities.  One row per group with at least one non-NULL value.
+    names to probabilities.  One row per group with at least one non-NULL value;
+    a NULL in ``by`` is a group of its own.
 
     ``percentile`` merges every value of a group in one task, which is only safe
-    for bounded groups (one parameter's draws).  Here the rows are numbered in
-    (group, value) order by ``dense_ids`` (range partitioning, so a hot group is
-    cut across partitions), each group's first id and size come from a partial
-    aggregate, and only the one or two rows at each wanted rank are joined back
-    (the join key includes the unique id, so it is not skewed).  Ties get
-    arbitrary relative ids, which does not change the value at any rank."""
+    for bounded groups (one parameter's draws).  Here the values are first
+    aggregated to (group, value, count) on the map side, so ties collapse.  The
+    distinct values are range-partitioned by (group, value), which cuts a hot group
+    across partitions, and cumulative counts run within (group, partition); the
+    counts of the partitions before come from a table with one row per group and
+    partition.  A value holds the ranks [start, start + count), and the one or two
+    wanted ranks per quantile pick their value by that interval."""
     by = list(by)
-    vals = df.select(*by, F.col(value_col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    ranked = dense_ids(vals, by + ["_v"], "_id")
-    stats = ranked.groupBy(*by).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    keys = [f"_b{i}" for i in range(len(by))]
+    vals = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.col(value_col).cast("double").alias("_v")) \
+             .where(F.col("_v").isNotNull())
+    # one text key that tells a NULL from a value
+    gkey = F.to_json(F.struct(*keys), {"ignoreNullFields": "true"})
+    counts = vals.withColumn("_g", gkey).groupBy("_g", "_v").agg(
+        F.count(F.lit(1)).alias("_c"), *[F.first(k).alias(k) for k in keys])
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut_lineage(counts.repartitionByRange(n, "_g", "_v").withColumn("_pid", F.spark_partition_id()))
+    parts = ranged.groupBy("_g", "_pid").agg(F.sum("_c").alias("_pc"), *[F.first(k).alias(k) for k in keys])
+    before = Window.partitionBy("_g").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    parts = cut_lineage(parts.withColumn("_base", F.coalesce(F.sum("_pc").over(before), F.lit(0)).cast("long")))
+    # the wanted ranks of each group, then the partition each of them lies in
+    size = parts.groupBy("_g").agg(F.sum("_pc").alias("_n"), *[F.first(k).alias(k) for k in keys])
     wanted = F.array(*[F.struct(F.lit(name).alias("q"), F.lit(float(pr)).alias("p")) for name, pr in probs.items()])
-    t = stats.select(*by, "_first", "_n", F.explode(wanted).alias("_t"))
-    t = t.select(*by, "_first", F.col("_t.q").alias("_q"),
-                 ((F.col("_n") - 1).cast("double") * F.col("_t.p")).alias("_h"))
-    t = t.withColumn("_lo", F.floor("_h").cast("long")).withColumn("_hi", F.ceil("_h").cast("long"))
-    t = t.withColumn("_pos", F.explode(F.array_distinct(F.array("_lo", "_hi")))) \
-         .withColumn("_id", F.col("_first") + F.col("_pos"))
-    picked = ranked.join(t, by + ["_id"])
-    per_q = picked.groupBy(*by, "_q", "_h", "_lo", "_hi").agg(
-        F.max(F.when(F.col("_pos") == F.col("_lo"), F.col("_v"))).alias("_vlo"),
-        F.max(F.when(F.col("_pos") == F.col("_hi"), F.col("_v"))).alias("_vhi"))
-    val = (F.when((F.col("_lo") == F.col("_hi")) | (F.col("_vlo") == F.col("_vhi")), F.col("_vlo"))
-            .otherwise((F.col("_hi") - F.col("_h")) * F.col("_vlo") + (F.col("_h") - F.col("_lo")) * F.col("_vhi")))
-    return per_q.groupBy(*by).agg(*[F.max(F.when(F.col("_q") == name, val)).alias(name) for name in probs])
+    t = size.select("_g", "_n", F.explode(wanted).alias("_t"))
+    t = t.select("_g", F.col("_t.q").alias("_q"), ((F.col("_n") - 1).cast("double") * F.col("_t.p")).alias("_h"))
+    t = t.select("*", F.explode(F.array(F.struct(F.floor("_h").cast("long").alias("pos"), (1 - (F.col("_h") - F.floor("_h"))).alias("w")),
+                                        F.struct(F.ceil("_h").cast("long").alias("pos"), (F.col("_h") - F.floor("_h")).alias("w")))).alias("_x"))
+    t = t.select("_g", "_q", F.col("_x.pos").alias("_pos"), F.col("_x.w").alias("_w")).where(F.col("_w") > 0)
+    at = t.join(parts.select("_g", "_pid", "_base", "_pc"), "_g") \
+          .where((F.col("_pos") >= F.col("_base")) & (F.col("_pos") < F.col("_base") + F.col("_pc"))).drop("_pc")
+    # only the partitions that hold a wanted rank are numbered
+    wide = Window.partitionBy("_g", "_pid").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    need = ranged.join(at.select("_g", "_pid").distinct(), ["_g", "_pid"], "left_semi")
+    upto = need.select("_g", "_pid", "_v", F.sum("_c").over(wide).alias("_upto"), "_c")
+    hit = upto.join(at, ["_g", "_pid"]).where(
+        (F.col("_pos") - F.col("_base") < F.col("_upto")) & (F.col("_pos") - F.col("_base") >= F.col("_upto") - F.col("_c")))
+    out = hit.groupBy("_g").agg(*[F.sum(F.when(F.col("_q") == name, F.col("_v") * F.col("_w"))).alias(name) for name in probs])
+    return size.join(out, "_g").select(*[F.col(k).alias(c) for c, k in zip(by, keys)], *probs)
+
+
+def join_keys(a: DataFrame, b: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """Join on ``keys``, NULL equal to NULL; the keys of the result are those of ``a``."""
+    keys = list(keys)
+    other = b.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = None
+    for k in keys:
+        same = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+        on = same if on is None else on & same
+    return a.join(other, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def zscore(df: DataFrame, col: str, out: str | None = None) -> DataFrame:

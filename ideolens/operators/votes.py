@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import cut_lineage
 from .relational import group_keys_where
 from .sampling import sample_fraction, sample_global, sample_n
 
@@ -81,17 +82,22 @@ def get_votes(cvr: DataFrame, compare: DataFrame | None, state: str | None,
 
     Small candidates are counted on the *sample*, contestedness is tested on the
     *full* base; small candidates stay in the output (only ``filter_county``
-    drops them).  ``max_voters`` (off by default) caps the voter sample."""
-    base = valid_votes(cvr, compare, state)
-    precincts = sample_precincts(base, prop, seed)
-    voters = sample_voters(base, precincts, n, seed)
+    drops them).  ``max_voters`` (off by default) caps the voter sample.
+
+    The records are scanned once: the valid votes are written, and the precincts and
+    voters come from one aggregate of them, candidates and parties from another."""
+    base = cut_lineage(valid_votes(cvr, compare, state))
+    people = cut_lineage(base.select("state", "county_name", "precinct", "cvr_id").distinct())
+    labels = cut_lineage(base.select("race", "candidate", "party").distinct())
+    precincts = sample_precincts(people, prop, seed)
+    voters = sample_voters(people, precincts, n, seed)
     if max_voters is not None:
         voters = sample_global(voters, VOTER_KEY, max_voters, seed)
-    sampled = base.join(voters, VOTER_KEY, "inner")
+    sampled = cut_lineage(base.join(voters, VOTER_KEY, "inner"))
     small = small_candidates(sampled, min_votes)
-    races = contested_races(base, small)
+    races = contested_races(labels, small)
     if partisan_only:
-        races = races.join(partisan_races(base), "race", "left_semi")
+        races = races.join(partisan_races(labels), "race", "left_semi")
     # races is the contest dimension: a semi join keeps the vote rows where they
     # are (AQE broadcasts it from its runtime size; otherwise the skew-join split
     # cuts a statewide contest into several tasks)

@@ -1,64 +1,141 @@
 """Convergence diagnostics and draw summaries.
 
-Moments, quantiles and split R-hat are plain grouped aggregates.  The
-rank-normalised R-hat and the bulk/tail effective sample sizes need a pooled
-rank and autocovariances of one parameter's draws; they run as grouped pandas
-functions, one group per parameter, whose size is fixed by the sampler
-settings (chains x iterations), not by the data."""
+A parameter is named by ``variable`` and, where it has them, ``idx`` and ``idx2``; scalars
+have NULL indices, and keys are compared NULL-safe.  Moments, quantiles and both forms of
+R-hat are grouped aggregates and windows over one parameter's draws, whose number is fixed by
+the sampler settings (chains x iterations), not by the data.  The effective sample sizes need
+autocovariances and run as one grouped pandas function per parameter."""
 
 from __future__ import annotations
 
+import sys
+from statistics import NormalDist
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .draws import DRAW_KEYS
-from ..operators.relational import group_quantiles
+from ..operators.relational import group_quantiles, join_keys
 from ..operators.sampling import sample_global
 
-PARAM_KEYS = ["variable", "idx"]
+# the grouped function below also runs on executors without this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+# Coefficients of Acklam's rational approximation of the inverse
+# standard normal CDF (published; relative error below 1.2e-9).
+_A = (-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02,
+      1.383577518672690e+02, -3.066479806614716e+01, 2.506628277459239e+00)
+_B = (-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02,
+      6.680131188771972e+01, -1.328068155288572e+01)
+_C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00,
+      -2.549732539343734e+00, 4.374664141464968e+00, 2.938163982698783e+00)
+_D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00,
+      3.754408661907416e+00)
+_LOW = 0.02425  # below it and above 1 - it the tail form holds
+
 
+def param_keys(draws: DataFrame) -> list[str]:
+    """The columns that name a parameter in this table."""
+    return [k for k in ("variable", "idx", "idx2") if k in draws.columns]
 
-def summarise_draws(draws: DataFrame, by=PARAM_KEYS) -> DataFrame:
+
+def summarise_draws(draws: DataFrame, by=None) -> DataFrame:
     """B2: mean, median, sd, mad (scaled by 1.4826), 5% and 95% quantiles
-    (linear interpolation, R type 7) per parameter."""
-    by = list(by)
+    (linear interpolation, R type 7) per parameter, scalars included."""
+    by = list(by or param_keys(draws))
     base = draws.groupBy(*by).agg(
         F.avg("value").alias("mean"),
         F.percentile("value", 0.5).alias("median"),
         F.stddev_samp("value").alias("sd"),
         F.percentile("value", 0.05).alias("q5"),
         F.percentile("value", 0.95).alias("q95"))
-    dev = draws.join(base.select(*by, "median"), by) \
-               .groupBy(*by).agg((F.percentile(F.abs(F.col("value") - F.col("median")), 0.5) * 1.4826).alias("mad"))
-    return base.join(dev, by).select(*by, "mean", "median", "sd", "mad", "q5", "q95")
+    dev = join_keys(draws, base.select(*by, "median"), by) \
+        .groupBy(*by).agg((F.percentile(F.abs(F.col("value") - F.col("median")), 0.5) * 1.4826).alias("mad"))
+    return join_keys(base, dev, by).select(*by, "mean", "median", "sd", "mad", "q5", "q95")
 
 
-def split_halves(draws: DataFrame, by=PARAM_KEYS) -> DataFrame:
-    """Each chain cut in two halves of floor(n/2) iterations (the middle
-    iteration of an odd-length chain is dropped); ``half`` is 0 or 1."""
+def split_halves(draws: DataFrame, by=None) -> DataFrame:
+    """Each chain cut in two halves of floor(n/2) draws by the rank of the iteration, so
+    offsets, thinning and 1-based numbers do not matter (the middle draw of an odd-length
+    chain is dropped, as the statistic asks); ``half`` is 0 or 1."""
+    by = list(by or param_keys(draws))
     w = Window.partitionBy(*by, "chain")
     n = F.count(F.lit(1)).over(w)
+    rank = F.row_number().over(w.orderBy("iteration"))
     h = F.floor(n / 2)
-    half = F.when(F.col("iteration") < h, 0).when(F.col("iteration") >= n - h, 1)
+    half = F.when(rank <= h, 0).when(rank > n - h, 1)
     return draws.withColumn("half", half).where(F.col("half").isNotNull())
 
 
-def split_rhat(draws: DataFrame, by=PARAM_KEYS) -> DataFrame:
-    """Split R-hat (Gelman et al.): within-half variance W, between-half
-    variance B = n var(half means), R = sqrt(((n-1)/n W + B/n) / W)."""
-    by = list(by)
-    halves = split_halves(draws, by).groupBy(*by, "chain", "half").agg(
-        F.avg("value").alias("m"), F.var_samp("value").alias("v"), F.count(F.lit(1)).alias("n"))
-    per = halves.groupBy(*by).agg(
+def _rhat_of_halves(halves: DataFrame, by, value: str) -> DataFrame:
+    """Within-half variance W, between-half variance B = n var(half means),
+    R = sqrt(((n-1)/n W + B/n) / W); NULL where nothing varies."""
+    parts = halves.groupBy(*by, "chain", "half").agg(
+        F.avg(value).alias("m"), F.var_samp(value).alias("v"), F.count(F.lit(1)).alias("n"))
+    per = parts.groupBy(*by).agg(
         F.avg("v").alias("W"), F.var_samp("m").alias("var_m"), F.min("n").alias("n"))
     n = F.col("n").cast("double")
     rhat = F.sqrt(((n - 1) / n * F.col("W") + F.col("var_m")) / F.col("W"))
     return per.select(*by, F.when(F.col("W") > 0, rhat).alias("rhat"))
 
 
+def split_rhat(draws: DataFrame, by=None) -> DataFrame:
+    """Split R-hat (Gelman et al.)."""
+    by = list(by or param_keys(draws))
+    return _rhat_of_halves(split_halves(draws, by), by, "value")
+
+
+def inv_normal(p: Column) -> Column:
+    """Inverse standard normal CDF by Acklam's rational approximation."""
+    def poly(x, coefficients):
+        out = F.lit(coefficients[0])
+        for c in coefficients[1:]:
+            out = out * x + F.lit(c)
+        return out
+
+    q = p - 0.5
+    r = q * q
+    middle = poly(r, _A) * q / (poly(r, _B) * r + 1)
+
+    def tail(x):
+        t = F.sqrt(-2 * F.log(x))
+        return poly(t, _C) / (poly(t, _D) * t + 1)
+
+    return F.when(p < _LOW, tail(p)).when(p > 1 - _LOW, -tail(1 - p)).otherwise(middle)
+
+
+def rank_rhat(draws: DataFrame, by=None) -> DataFrame:
+    """B3, rank form (Vehtari et al. 2021): the split draws of a parameter are replaced by
+    normal scores of their average ranks, and R-hat is the larger of the values for the
+    draws and for their distances from the median."""
+    by = list(by or param_keys(draws))
+    med = draws.groupBy(*by).agg(F.percentile("value", 0.5).alias("_med"))
+    t = split_halves(join_keys(draws, med, by), by).withColumn("_folded", F.abs(F.col("value") - F.col("_med")))
+    group = Window.partitionBy(*by)
+    size = F.count(F.lit(1)).over(group)
+
+    def score(column):
+        ties = F.count(F.lit(1)).over(Window.partitionBy(*by, column))
+        rank = F.rank().over(group.orderBy(column)) + (ties - 1) / 2
+        return inv_normal((rank - 3 / 8) / (size + 1 / 4))
+
+    t = t.withColumn("_z", score("value")).withColumn("_zf", score("_folded"))
+    bulk = _rhat_of_halves(t, by, "_z").withColumnRenamed("rhat", "bulk")
+    folded = _rhat_of_halves(t, by, "_zf").withColumnRenamed("rhat", "folded")
+    return join_keys(bulk, folded, by).select(*by, F.greatest("bulk", "folded").alias("rhat"))
+
+
+def summarise_all(draws: DataFrame) -> DataFrame:
+    """B2 complete: moments and quantiles with the R-hat column."""
+    by = param_keys(draws)
+    return join_keys(summarise_draws(draws, by), rank_rhat(draws, by), by, "left")
+
+
 def rhat_table(rhats: DataFrame, type_col: str = "variable") -> DataFrame:
     """Mean / median / max / sd of R-hat per model (or variable) type and the
     share below 1.1 (NULL R-hats dropped)."""
@@ -68,7 +145,7 @@ def rhat_table(rhats: DataFrame, type_col: str = "variable") -> DataFrame:
     agg = r.groupBy(type_col).agg(
         F.avg("rhat").alias("mean"), F.max("rhat").alias("max"), F.stddev_samp("rhat").alias("sd"),
         (F.sum(F.when(F.col("rhat") < 1.1, 1).otherwise(0)) / F.count(F.lit(1))).alias("share_below_1_1"))
-    return agg.join(med, type_col).select(type_col, "mean", "median", "max", "sd", "share_below_1_1")
+    return join_keys(agg, med, [type_col]).select(type_col, "mean", "median", "max", "sd", "share_below_1_1")
 
 
 def box_summary(rhats: DataFrame, type_col: str = "variable") -> DataFrame:
@@ -76,64 +153,35 @@ def box_summary(rhats: DataFrame, type_col: str = "variable") -> DataFrame:
     r = rhats.where(F.col("rhat").isNotNull())
     qs = group_quantiles(r, [type_col], "rhat", {"q1": 0.25, "median": 0.5, "q3": 0.75})
     ext = r.groupBy(type_col).agg(F.min("rhat").alias("min"), F.max("rhat").alias("max"))
-    return ext.join(qs, type_col).select(type_col, "min", "q1", "median", "q3", "max")
+    return join_keys(ext, qs, [type_col]).select(type_col, "min", "q1", "median", "q3", "max")
 
 
-def interval_summary(draws: DataFrame, by=PARAM_KEYS, value_col: str = "value") -> DataFrame:
+def interval_summary(draws: DataFrame, by=None, value_col: str = "value") -> DataFrame:
     """Median with 66% and 95% central intervals per group."""
-    by = list(by)
+    by = list(by or param_keys(draws))
     v = F.col(value_col)
     probs = {"median": 0.5, "lower66": 0.17, "upper66": 0.83, "lower95": 0.025, "upper95": 0.975}
-    if set(PARAM_KEYS) <= set(by):
+    if {"variable", "idx"} <= set(by):
         # one parameter's draws: bounded by the sampler settings
         return draws.groupBy(*by).agg(*[F.percentile(v, p).alias(k) for k, p in probs.items()],
                                       F.count(F.lit(1)).alias("n"))
     # other groupings (e.g. all voters of one choice) are unbounded: exact ranks
     n = draws.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    return n.join(group_quantiles(draws, by, value_col, probs), by, "left").select(*by, *probs, "n")
+    return join_keys(n, group_quantiles(draws, by, value_col, probs), by, "left").select(*by, *probs, "n")
 
 
 def trace_table(draws: DataFrame, n: int = 24, seed=2139, threshold: float = 0.1,
                 exclude_pattern: str = "raw") -> DataFrame:
     """Traces of ``n`` randomly chosen parameters whose |mean| exceeds the
     threshold and whose name does not match ``exclude_pattern``."""
-    s = draws.groupBy(*PARAM_KEYS).agg(F.avg("value").alias("mean"))
+    keys = param_keys(draws)
+    s = draws.groupBy(*keys).agg(F.avg("value").alias("mean"))
     eligible = s.where((F.abs(F.col("mean")) > threshold) & ~F.col("variable").rlike(exclude_pattern))
-    picked = sample_global(eligible.select(*PARAM_KEYS), PARAM_KEYS, n, seed)
-    return draws.join(picked, PARAM_KEYS, "left_semi").select(*PARAM_KEYS, "chain", "iteration", "value")
-
+    picked = sample_global(eligible.select(*keys), keys, n, seed)
+    return join_keys(draws, picked, keys, "left_semi").select(*keys, "chain", "iteration", "value")
 
-# --------------------------------------------------------------- rank-normalised diagnostics
-
-# Coefficients of Acklam's rational approximation of the inverse
-# standard normal CDF (published; relative error below 1.2e-9).
-_A = (-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02,
-      1.383577518672690e+02, -3.066479806614716e+01, 2.506628277459239e+00)
-_B = (-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02,
-      6.680131188771972e+01, -1.328068155288572e+01)
-_C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00,
-      -2.549732539343734e+00, 4.374664141464968e+00, 2.938163982698783e+00)
-_D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00,
-      3.754408661907416e+00)
-
-
-def norm_ppf(p: np.ndarray) -> np.ndarray:
-    """Inverse standard normal CDF (vectorised)."""
-    p = np.asarray(p, dtype=float)
-    out = np.empty_like(p)
-    lo, hi = 0.02425, 1 - 0.02425
-    m = (p >= lo) & (p <= hi)
-    q = p[m] - 0.5
-    r = q * q
-    out[m] = ((((((_A[0] * r + _A[1]) * r + _A[2]) * r + _A[3]) * r + _A[4]) * r + _A[5]) * q /
-              (((((_B[0] * r + _B[1]) * r + _B[2]) * r + _B[3]) * r + _B[4]) * r + 1))
-    for mask, sign in (((p < lo), 1.0), ((p > hi), -1.0)):
-        pp = p[mask] if sign > 0 else 1 - p[mask]
-        qq = np.sqrt(-2 * np.log(pp))
-        out[mask] = sign * ((((((_C[0] * qq + _C[1]) * qq + _C[2]) * qq + _C[3]) * qq + _C[4]) * qq + _C[5]) /
-                            ((((_D[0] * qq + _D[1]) * qq + _D[2]) * qq + _D[3]) * qq + 1))
-    return out
 
+# --------------------------------------------------------------- effective sample size
 
 def _split(x: np.ndarray) -> np.ndarray:
     n = x.shape[0]
@@ -144,19 +192,10 @@ def _split(x: np.ndarray) -> np.ndarray:
 def _z_scale(x: np.ndarray) -> np.ndarray:
     flat = x.ravel(order="F")
     r = pd.Series(flat).rank(method="average").to_numpy()
-    z = norm_ppf((r - 3.0 / 8.0) / (flat.size + 0.25))
+    z = np.array([NormalDist().inv_cdf(p) for p in (r - 3.0 / 8.0) / (flat.size + 0.25)])
     return z.reshape(x.shape, order="F")
 
 
-def _rhat_basic(x: np.ndarray) -> float:
-    n = x.shape[0]
-    w = x.var(axis=0, ddof=1).mean()
-    b = n * x.mean(axis=0).var(ddof=1)
-    if not np.isfinite(w) or w <= 0:
-        return float("nan")
-    return float(np.sqrt((b / w + n - 1) / n))
-
-
 def _autocov(x: np.ndarray) -> np.ndarray:
     n = x.size
     size = 1 << int(np.ceil(np.log2(2 * n)))
@@ -207,40 +246,26 @@ def _ess_basic(x: np.ndarray) -> float:
     return total / tau
 
 
-def rank_diagnostics_pdf(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Rank-normalised split R-hat, bulk ESS and tail ESS of one parameter."""
+def ess_pdf(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Bulk ESS and tail ESS of one parameter, over the iterations that every chain has
+    (an autocovariance needs complete rows); NULL with fewer than four of them."""
+    keys = [k for k in ("variable", "idx", "idx2") if k in pdf.columns]
+    out = pdf[keys].iloc[:1].reset_index(drop=True)
     piv = pdf.pivot_table(index="iteration", columns="chain", values="value", aggfunc="first").sort_index()
     x = piv.dropna(axis=0).to_numpy(dtype=float)
-    out = {"variable": pdf["variable"].iloc[0], "idx": int(pdf["idx"].iloc[0])}
     if x.shape[0] < 4:
-        out.update(rhat=np.nan, ess_bulk=np.nan, ess_tail=np.nan)
-        return pd.DataFrame([out])
-    sx = _split(x)
-    folded = np.abs(x - np.median(x))
-    out["rhat"] = max(_rhat_basic(_z_scale(sx)), _rhat_basic(_z_scale(_split(folded))))
-    out["ess_bulk"] = _ess_basic(_z_scale(sx))
+        return out.assign(ess_bulk=np.nan, ess_tail=np.nan)
     q5, q95 = np.quantile(x, [0.05, 0.95])
-    out["ess_tail"] = min(_ess_basic(_split((x <= q5).astype(float))),
-                          _ess_basic(_split((x <= q95).astype(float))))
-    return pd.DataFrame([out])
-
-
-RANK_SCHEMA = T.StructType([
-    T.StructField("variable", T.StringType()), T.StructField("idx", T.LongType()),
-    T.StructField("rhat", T.DoubleType()), T.StructField("ess_bulk", T.DoubleType()),
-    T.StructField("ess_tail", T.DoubleType())])
+    return out.assign(ess_bulk=_ess_basic(_z_scale(_split(x))),
+                      ess_tail=min(_ess_basic(_split((x <= q).astype(float))) for q in (q5, q95)))
 
 
-def rank_diagnostics(draws: DataFrame) -> DataFrame:
-    """B3 (rank-normalised) + B4: per parameter R-hat, bulk ESS and tail ESS."""
-    return draws.select(*PARAM_KEYS, "chain", "iteration", "value") \
-        .groupBy(*PARAM_KEYS).applyInPandas(rank_diagnostics_pdf, RANK_SCHEMA)
-
-
-def summarise_all(draws: DataFrame) -> DataFrame:
-    """B2 complete: moments and quantiles plus R-hat and ESS columns."""
-    return summarise_draws(draws).join(rank_diagnostics(draws), PARAM_KEYS)
+def ess(draws: DataFrame) -> DataFrame:
+    """Per parameter bulk and tail effective sample size, scalars included."""
+    keys = param_keys(draws)
+    fields = [draws.schema[k] for k in keys] + [T.StructField(c, T.DoubleType()) for c in ("ess_bulk", "ess_tail")]
+    return draws.select(*keys, "chain", "iteration", "value").groupBy(*keys).applyInPandas(ess_pdf, T.StructType(fields))
 
 
-__all__ = ["summarise_draws", "split_rhat", "rhat_table", "box_summary", "interval_summary",
-           "trace_table", "rank_diagnostics", "summarise_all", "DRAW_KEYS"]
+__all__ = ["summarise_draws", "split_rhat", "rank_rhat", "rhat_table", "box_summary", "interval_summary",
+           "trace_table", "ess", "summarise_all", "inv_normal", "param_keys", "DRAW_KEYS"]

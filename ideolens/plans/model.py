@@ -15,7 +15,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import (cauchy_lpdf_value, dot, log_sum_exp, normal_lpdf, softmax,
+from ..functions.arrays import (cauchy_lpdf_value, dot, inv_logit, log_sum_exp, normal_lpdf, softmax,
                                 softplus, student_t_lpdf_value)
 
 SLOPE_INTERCEPT = "slope_intercept"   # u_c = disc_c * alpha - diff_c
@@ -189,6 +189,44 @@ def log_prior_1pl(alpha: DataFrame, beta: DataFrame, mu: float, sigma_beta: Data
          + F.lit(cauchy_lpdf_value(mu, 0.0, 5.0))).alias("log_prior"))
 
 
+def half_normal_lpdf_value(x: float, sigma: float) -> float:
+    """Log density of a standard deviation whose prior is a normal cut at zero."""
+    return math.log(2.0) - 0.5 * math.log(2 * math.pi) - math.log(sigma) - 0.5 * (x / sigma) ** 2
+
+
+def normal_lpdf_value(x: float, mu: float, sigma: float) -> float:
+    z = (x - mu) / sigma
+    return -0.5 * math.log(2 * math.pi) - math.log(sigma) - 0.5 * z * z
+
+
+def log_prior_bernoulli(race_p: DataFrame, voter_p: DataFrame, model: str, intercepts, sds) -> DataFrame:
+    """M7, Bernoulli models.  1PL: intercept ~ N(0,2), effects of races and voters normal
+    with sds ~ half N(0,3); ``intercepts`` (b0,), ``sds`` (race, voter).  2PL: mean of beta
+    ~ N(0,2), of loggamma ~ N(0,1); alpha, beta, loggamma normal with sds ~ half N(0,1),
+    N(0,3), N(0,1); the race effects uncorrelated; ``sds`` (alpha, beta, loggamma)."""
+    if model == "1pl":
+        race, voter = sds
+        parts = [("race", race_p.select(normal_lpdf(F.col("r_race"), 0.0, race).alias("lp"))),
+                 ("voter", voter_p.select(normal_lpdf(F.col("alpha"), 0.0, voter).alias("lp")))]
+        hyper = normal_lpdf_value(intercepts[0], 0.0, 2.0) + sum(half_normal_lpdf_value(x, 3.0) for x in sds)
+    elif model == "2pl":
+        a, b, g = sds
+        parts = [("race", race_p.select((normal_lpdf(F.col("beta"), intercepts[0], b)
+                                         + normal_lpdf(F.col("loggamma"), intercepts[1], g)).alias("lp"))),
+                 ("voter", voter_p.select(normal_lpdf(F.col("alpha"), 0.0, a).alias("lp")))]
+        hyper = (normal_lpdf_value(intercepts[0], 0.0, 2.0) + normal_lpdf_value(intercepts[1], 0.0, 1.0)
+                 + sum(half_normal_lpdf_value(x, s) for x, s in zip(sds, (1.0, 3.0, 1.0))))
+    else:
+        raise ValueError(model)
+    return _sum_parts(parts).select((F.col("lp_race") + F.col("lp_voter") + F.lit(hyper)).alias("log_prior"), "lp_race", "lp_voter")
+
+
+def bernoulli_probabilities(rows: DataFrame, race_p: DataFrame, voter_p: DataFrame) -> DataFrame:
+    """M8, Bernoulli 2PL: probability of the binary outcome for each row."""
+    j = rows.join(race_p, "race_id").join(voter_p, "voter_id")
+    return j.select("voter_id", "race_id", inv_logit(F.exp("loggamma") * F.col("alpha") - F.col("beta")).alias("prob"))
+
+
 # ---------------------------------------------------------------- probabilities & gradients
 
 def choice_probabilities(votes: DataFrame, alpha: DataFrame, params: DataFrame,
@@ -274,21 +312,15 @@ def gradient_candidate(votes: DataFrame, alpha: DataFrame, params: DataFrame,
 
 def whiten(alpha: DataFrame, dims: int) -> DataFrame:
     """De-mean the voter position vectors, then multiply by the Cholesky
-    factor of the inverse sample covariance.  Means and cross-products are one
-    distributed aggregate (d + d^2 numbers); the d x d algebra runs on the driver."""
+    factor of the inverse sample covariance.  Means and covariances (by updates that do not
+    cancel) are one distributed aggregate; the d x d algebra runs on the driver."""
     import numpy as np
-    aggs = [F.sum(F.col("alpha")[i]).alias(f"s{i}") for i in range(dims)]
-    aggs += [F.sum(F.col("alpha")[i] * F.col("alpha")[k]).alias(f"p{i}_{k}")
+    aggs = [F.avg(F.col("alpha")[i]).alias(f"m{i}") for i in range(dims)]
+    aggs += [F.covar_samp(F.col("alpha")[i], F.col("alpha")[k]).alias(f"c{i}_{k}")
              for i in range(dims) for k in range(i, dims)]
-    aggs.append(F.count(F.lit(1)).alias("n"))
     row = alpha.agg(*aggs).collect()[0]
-    n = row["n"]
-    mean = np.array([row[f"s{i}"] / n for i in range(dims)])
-    cp = np.zeros((dims, dims))
-    for i in range(dims):
-        for k in range(i, dims):
-            cp[i, k] = cp[k, i] = row[f"p{i}_{k}"]
-    cov = (cp - n * np.outer(mean, mean)) / (n - 1.0)
+    mean = np.array([row[f"m{i}"] for i in range(dims)])
+    cov = np.array([[row[f"c{min(i, k)}_{max(i, k)}"] for k in range(dims)] for i in range(dims)])
     ww = np.linalg.cholesky(np.linalg.inv(cov))
     cols = []
     for k in range(dims):

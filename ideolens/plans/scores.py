@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators.relational import distinct_on
+from ..operators.relational import distinct_on, join_keys
+from ..session import bounded_broadcast, cut_lineage, scalar_row
+from .diagnostics import param_keys
 
 
 def external_candidates(ext: DataFrame, cycle: int | None = 2020, sep: str = "_",
@@ -25,11 +27,22 @@ def external_candidates(ext: DataFrame, cycle: int | None = 2020, sep: str = "_"
     return df.select(tx.str_c(F.col("office"), district, sep=sep).alias("race"), "candidate", "cfscore")
 
 
+def external_seats(raw: DataFrame, cycle: int = 2020, states=None, seats: dict = tx.SEAT_OFFICES) -> DataFrame:
+    """B20, first step: rows of one cycle in the known seats, without losers (``pwinner``
+    'L'; a NULL result stays out too), in the wanted states, the seat recoded to its
+    office name."""
+    df = raw.where((F.col("cycle") == cycle) & F.col("seat").isin(list(seats)) & (F.col("pwinner") != "L"))
+    if states is not None:
+        df = df.where(F.col("state").isin(list(states)))
+    return df.select(tx.recode("seat", seats).alias("office"), "district", "candidate", "cfscore")
+
+
 def external_scores(ext: DataFrame, votes_races: DataFrame, cycle: int | None = 2020,
-                    sep: str = "_", min_scored: int = 2) -> DataFrame:
+                    sep: str = "_", min_scored: int = 2, pad_width: int | None = None) -> DataFrame:
     """External candidate scores: z-scored over the cycle's scored rows
-    (proper ``(x - mean) / sd``), one row per candidate, restricted to races that
-    appear in the votes and have at least ``min_scored`` scored candidates."""
+    (proper ``(x - mean) / sd``), one row per candidate, the district padded to
+    ``pad_width``, restricted to races that appear in the votes and have at least
+    ``min_scored`` scored candidates."""
     from ..operators.relational import group_size_filter, zscore
     df = ext
     if cycle is not None:
@@ -37,7 +50,8 @@ def external_scores(ext: DataFrame, votes_races: DataFrame, cycle: int | None =
     df = zscore(df.where(F.col("cfscore").isNotNull()), "cfscore", "dime_score")
     cands = distinct_on(df.select("office", "district", "candidate", "cfscore", "dime_score"),
                         ["office", "district", "candidate"], ["cfscore", "dime_score"])
-    cands = cands.select(tx.str_c(F.col("office"), F.col("district"), sep=sep).alias("race"),
+    district = tx.pad_left("district", pad_width) if pad_width else F.col("district")
+    cands = cands.select(tx.str_c(F.col("office"), district, sep=sep).alias("race"),
                          "candidate", "cfscore", "dime_score")
     cands = cands.join(votes_races.select("race").distinct(), "race", "left_semi")
     return group_size_filter(cands, ["race"], ">=", min_scored)
@@ -67,8 +81,7 @@ def candidate_scores(scores: DataFrame, choices: DataFrame, min_voters: int = 5,
         return out
     # one row per candidate: written once to the checkpoint folder so the z-score's
     # two numbers and the result read it instead of re-running the voter joins
-    from ..session import cut_lineage
-    return zscore(cut_lineage(out, keep_partitioning=False), "bayes_ideal")
+    return zscore(cut_lineage(out), "bayes_ideal")
 
 
 def scores_by_choice(scores: DataFrame, voter_choice: DataFrame, main=(), min_other: int = 5) -> DataFrame:
@@ -84,41 +97,64 @@ def scores_by_choice(scores: DataFrame, voter_choice: DataFrame, main=(), min_ot
 
 
 def weighted_density(df: DataFrame, group_col: str, value_col: str = "mean", weight_col: str = "precision",
-                     grid: int = 64) -> DataFrame:
+                     grid: int = 64, bins: int = 512) -> DataFrame:
     """Weighted Gaussian kernel density of ``value_col`` on a ``grid``-point
     grid per group.  Bandwidth 1.06 sd n^(-1/5) (normal reference); the grid spans
-    the group's range +- 3 bandwidths.  Each row fans out to the grid points
-    (fixed fan-out) and feeds a partial aggregate; no pairs of rows are formed."""
-    stats = df.groupBy(group_col).agg(
+    the group's range +- 3 bandwidths.
+
+    Rows are first reduced to ``bins`` equal bins of the group's range, each kept as
+    its weight and weighted mean (a partial aggregate); kernels are summed over grid x
+    bins, so the fan-out does not grow with the rows.  A group with one row or
+    without spread has no density: its grid rows hold NULL."""
+    stats = cut_lineage(df.groupBy(group_col).agg(
         F.min(value_col).alias("_lo"), F.max(value_col).alias("_hi"),
         F.stddev_samp(value_col).alias("_sd"), F.count(F.lit(1)).alias("_n"),
-        F.sum(weight_col).alias("_wsum"))
-    stats = stats.withColumn("_bw", F.lit(1.06) * F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))) \
-                 .where(F.col("_bw") > 0)
-    j = df.join(stats, group_col)
-    start = F.col("_lo") - 3 * F.col("_bw")
-    step = (F.col("_hi") - F.col("_lo") + 6 * F.col("_bw")) / F.lit(grid - 1)
-    ex = j.select(group_col, value_col, weight_col, "_bw", "_wsum", start.alias("_start"), step.alias("_step"),
+        F.sum(weight_col).alias("_wsum")))
+    stats_b = bounded_broadcast(stats, 80)
+    width = F.col("_hi") - F.col("_lo")
+    pos = F.when(width > 0, F.least(F.floor((F.col(value_col) - F.col("_lo")) / width * bins), F.lit(bins - 1))).otherwise(0)
+    binned = join_keys(df.select(group_col, value_col, weight_col), stats_b.select(group_col, "_lo", "_hi"), [group_col]) \
+        .groupBy(group_col, pos.alias("_bin")).agg(
+            F.sum(weight_col).alias("_w"), (F.sum(F.col(weight_col) * F.col(value_col)) / F.sum(weight_col)).alias("_v"))
+    bw = F.lit(1.06) * F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))
+    j = join_keys(binned, stats_b, [group_col]).withColumn("_bw", F.when(bw > 0, bw))
+    spread = F.coalesce("_bw", F.lit(0.0))
+    start = F.col("_lo") - 3 * spread
+    step = (width + 6 * spread) / F.lit(grid - 1)
+    ex = j.select(group_col, "_v", "_w", "_bw", "_wsum", start.alias("_start"), step.alias("_step"),
                   F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("g"))
     x = F.col("_start") + F.col("g") * F.col("_step")
-    z = (x - F.col(value_col)) / F.col("_bw")
-    k = F.col(weight_col) * F.exp(-0.5 * z * z) / (F.col("_bw") * F.col("_wsum") * F.lit(2.5066282746310002))
+    z = (x - F.col("_v")) / F.col("_bw")
+    k = F.col("_w") * F.exp(-0.5 * z * z) / (F.col("_bw") * F.col("_wsum") * F.lit(2.5066282746310002))
     return ex.groupBy(group_col, "g").agg(F.first(x).alias("x"), F.sum(k).alias("density"))
 
 
-def race_parameter_table(draws: DataFrame, flat_ids: DataFrame) -> DataFrame:
-    """Mean and sd of difficulty (beta) and discrimination (gamma) draws per
-    race, race names title-cased with a leading 'Us' written 'US'."""
-    j = draws.where(F.col("variable").isin("beta", "gamma")) \
+def race_parameter_table(draws: DataFrame, flat_ids: DataFrame, difficulty: str = "diff",
+                         discrimination: str = "disc") -> DataFrame:
+    """Mean, median and sd of the difficulty and discrimination draws per race,
+    race names title-cased with a leading 'Us' written 'US'.  A race's draws are bounded
+    by its candidates and the sampler settings."""
+    j = draws.where(F.col("variable").isin(difficulty, discrimination)) \
              .join(flat_ids.select("race", F.col("param_idx").alias("idx")), "idx")
-    out = j.groupBy("race").agg(
-        F.avg(F.when(F.col("variable") == "beta", F.col("value"))).alias("mean_beta"),
-        F.stddev_samp(F.when(F.col("variable") == "beta", F.col("value"))).alias("sd_beta"),
-        F.avg(F.when(F.col("variable") == "gamma", F.col("value"))).alias("mean_gamma"),
-        F.stddev_samp(F.when(F.col("variable") == "gamma", F.col("value"))).alias("sd_gamma"))
+    aggs = []
+    for name in (difficulty, discrimination):
+        v = F.when(F.col("variable") == name, F.col("value"))
+        aggs += [F.avg(v).alias(f"mean_{name}"), F.percentile(v, 0.5).alias(f"median_{name}"), F.stddev_samp(v).alias(f"sd_{name}")]
+    out = j.groupBy("race").agg(*aggs)
     return out.withColumn("race", F.regexp_replace(tx.title_case("race"), "^Us", "US"))
 
 
+def scaled_discrimination(draws: DataFrame, flat_ids: DataFrame, variable: str = "loggamma",
+                          scale_by: str = "alpha") -> DataFrame:
+    """B16, exp form: discrimination exp(variable) / sd of each draw's ``scale_by``, its
+    mean and median per race."""
+    sds = draws.where(F.col("variable") == scale_by).groupBy("draw").agg(F.stddev_samp("value").alias("_sd"))
+    v = draws.where(F.col("variable") == variable).join(sds, "draw")
+    j = v.join(flat_ids.select("race", F.col("param_idx").alias("idx")), "idx")
+    x = F.exp("value") / F.col("_sd")
+    return j.groupBy("race").agg(F.avg(x).alias("mean"), F.percentile(x, 0.5).alias("median"), F.count(F.lit(1)).alias("n_draws"))
+
+
 def candidate_party(data: DataFrame) -> DataFrame:
     """One party label per (race, candidate): 'democrat' if any row says so,
     otherwise the smallest label."""
@@ -127,12 +163,12 @@ def candidate_party(data: DataFrame) -> DataFrame:
 
 
 def discrimination_by_type(draws: DataFrame, flat_ids: DataFrame, parties: DataFrame,
-                           type_pattern: str = "_.*$") -> DataFrame:
+                           type_pattern: str = "_.*$", variable: str = "disc") -> DataFrame:
     """|discrimination| by partisan / non-partisan contest and race type
     (race name with the district part removed); candidates whose mean
     discrimination is exactly 0 (reference candidates) are dropped."""
     from .diagnostics import interval_summary
-    g = draws.where(F.col("variable") == "gamma") \
+    g = draws.where(F.col("variable") == variable) \
              .join(flat_ids.select("race", "candidate", F.col("param_idx").alias("idx")), "idx")
     nonzero = g.groupBy("race", "candidate").agg(F.avg("value").alias("_m")).where(F.col("_m") != 0)
     g = g.join(nonzero.select("race", "candidate"), ["race", "candidate"], "left_semi") \
@@ -162,31 +198,33 @@ def compare_fits(fit_a: DataFrame, fit_b: DataFrame, exclude_pattern: str = r"^l
     """Per parameter the two fits' values (a = posterior means, b = a single
     draw or another fit's means), typed by variable and min-max rescaled per type."""
     from ..operators.relational import rescale01
-    a = fit_a.groupBy("variable", "idx").agg(F.avg("value").alias("value_x"))
-    b = fit_b.groupBy("variable", "idx").agg(F.avg("value").alias("value_y"))
-    j = a.join(b, ["variable", "idx"], "left").where(~F.col("variable").rlike(exclude_pattern))
+    keys = param_keys(fit_a)
+    a = fit_a.groupBy(*keys).agg(F.avg("value").alias("value_x"))
+    b = fit_b.groupBy(*keys).agg(F.avg("value").alias("value_y"))
+    j = join_keys(a, b, keys, "left").where(~F.col("variable").rlike(exclude_pattern))
     j = j.withColumn("type", F.col("variable"))
     return rescale01(j, ["value_x", "value_y"], ["type"])
 
 
 def fits_correlation(fit_a: DataFrame, fit_b: DataFrame, exclude_pattern: str = r"^lp|raw|\.") -> DataFrame:
     """Pearson correlation of the two fits' parameter values."""
-    a = fit_a.groupBy("variable", "idx").agg(F.avg("value").alias("value_x"))
-    b = fit_b.groupBy("variable", "idx").agg(F.avg("value").alias("value_y"))
-    j = a.join(b, ["variable", "idx"]).where(~F.col("variable").rlike(exclude_pattern))
+    keys = param_keys(fit_a)
+    a = fit_a.groupBy(*keys).agg(F.avg("value").alias("value_x"))
+    b = fit_b.groupBy(*keys).agg(F.avg("value").alias("value_y"))
+    j = join_keys(a, b, keys).where(~F.col("variable").rlike(exclude_pattern))
     return j.agg(F.corr("value_x", "value_y").alias("correlation"), F.count(F.lit(1)).alias("n"))
 
 
 def voters_vs_external(draws: DataFrame, ext_scores: DataFrame, choices: DataFrame) -> DataFrame:
-    """Draws of each scored candidate's choosers (alpha divided by the sd of
-    all alpha draws) beside the candidate's external score."""
-    from ..operators.relational import zscore
+    """For each scored candidate and draw, the choosers' positions (alpha divided by
+    the sd of all alpha draws) beside the candidate's external score: their number, mean
+    and sd.  Choosers x draws meet only inside the partial aggregate and are not returned."""
     alpha = draws.where(F.col("variable") == "alpha").select("draw", F.col("idx").alias("voter_id"), "value")
-    from ..session import scalar_row
     sd = scalar_row(alpha, F.stddev_samp("value").alias("s"))["s"]
     pick = ext_scores.join(choices.select("race", "candidate", "voter_id"), ["race", "candidate"])
-    return pick.join(alpha, "voter_id").select(
-        "race", "candidate", "dime_score", "voter_id", "draw", (F.col("value") / F.lit(sd)).alias("alpha"))
+    x = F.col("value") / F.lit(sd)
+    return pick.join(alpha, "voter_id").groupBy("race", "candidate", "dime_score", "draw").agg(
+        F.count(F.lit(1)).alias("n_voters"), F.avg(x).alias("mean_alpha"), F.stddev_samp(x).alias("sd_alpha"))
 
 
 def scored_candidates(ext_scores: DataFrame, cand_scores: DataFrame) -> DataFrame:

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Largest estimated size of a table that a broadcast join copies to every executor.
+BROADCAST_BYTES = 64 << 20
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app: str = "ideolens") -> SparkSession:
     """Session with AQE (runtime broadcast conversion, partition coalescing and
@@ -73,44 +77,62 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame, keep_partitioning: bool = True) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss).
+def scratch_path(spark: SparkSession, kind: str) -> str:
+    """A new location under the session's checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
 
-    The frame is persisted first so that the eager checkpoint computes it once
-    (the count fills the cache, the checkpoint files are written from it); the
-    cache is dropped once the files exist.
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder (Parquet) and read it back.
+
+    The frame is computed once, survives lost executors, and tells the planner its
+    real size.  ``forget`` deletes it when a newer state supersedes it."""
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._kept = (None, path)
+    return out
 
-    The result must keep the frame's hash partitioning (voter-partitioned
-    state stays co-partitioned with the votes, so later joins and per-voter
-    aggregates need no shuffle).  An adaptive plan reports its partitioning as
-    unknown to ``checkpoint``, so the checkpointed plan is built with AQE off;
-    the frames cut here are iteration state whose joins are co-partitioned or
-    size-checked broadcasts, so nothing is lost by planning them statically.
-    ``keep_partitioning=False`` keeps AQE (runtime broadcast and skew handling)
-    for frames whose layout does not matter afterwards."""
+
+def keep_bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """Like ``cut_lineage``, as a table bucketed by ``key``: joins and aggregates on
+    ``key`` between tables with as many buckets need no shuffle, also under adaptive
+    execution.  ``df`` should already be partitioned by ``key`` into ``buckets``
+    partitions, so that every task writes one bucket."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    prev = spark.conf.get("spark.sql.adaptive.enabled")
-    if keep_partitioning:
-        spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        df.persist(StorageLevel.MEMORY_AND_DISK)
-        out = df.checkpoint(eager=True)
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", prev)
-    df.unpersist(blocking=False)
+    path = scratch_path(spark, "bucketed")
+    name = "ideolens_" + uuid.uuid4().hex
+    df.write.format("parquet").option("path", path).bucketBy(buckets, key).saveAsTable(name)
+    out = spark.table(name)
+    out._kept = (name, path)
     return out
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only when it holds at most ``max_rows`` rows.
+def forget(*frames: DataFrame) -> None:
+    """Delete tables written by ``cut_lineage`` or ``keep_bucketed``."""
+    for df in frames:
+        kept = getattr(df, "_kept", None)
+        if kept is None:
+            continue
+        spark = df.sparkSession
+        name, path = kept
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def fits_broadcast(df: DataFrame, row_bytes: F.Column | int, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows of an already written table sum to ``max_bytes`` at most."""
+    size = row_bytes if isinstance(row_bytes, F.Column) else F.lit(row_bytes)
+    return (scalar_row(df, F.sum(size).alias("n"))["n"] or 0) <= max_bytes
+
 
-    Meant for tables that are already materialised (checkpointed dimension or
-    parameter tables), where the count is cheap.  Beyond the bound the plain
-    frame is returned and Spark plans a shuffle join (AQE may still convert it
-    from runtime statistics)."""
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+def bounded_broadcast(df: DataFrame, row_bytes: F.Column | int, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark an already written table for broadcast when its rows (``row_bytes`` each)
+    sum to at most ``max_bytes``; a larger one is returned as it is and joined by a
+    shuffle."""
+    return F.broadcast(df) if fits_broadcast(df, row_bytes, max_bytes) else df
 
 
 def scalar_row(df: DataFrame, *aggs):

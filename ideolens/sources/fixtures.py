@@ -22,6 +22,7 @@ SAMPLE_N = 500
 SAMPLE_N_TIGHT = 8
 SAMPLE_MIN_VOTES = 10
 SAMPLE_SEED = 2139
+CAPPED_MIN_VOTES = 1
 DRAWS_PER_CHAIN = 125
 
 
@@ -74,7 +75,9 @@ def cvr(spark: SparkSession, sf_dir: str) -> DataFrame:
                   .when(qty == 49, F.lit("Overvote"))
                   .when(qty == 48, F.lit("WriteIn 1"))
                   .otherwise(F.concat(F.lit("cand_"), bm.cast("string"))))
-    party = (F.when(F.col("r.p_brand") == "Brand#7", F.lit("green"))
+    # the medium offices are nonpartisan contests
+    party = (F.when(F.col("p_type") == "MEDIUM", F.lit("nonpartisan"))
+              .when(F.col("r.p_brand") == "Brand#7", F.lit("green"))
               .when(bm == 0, F.lit("democrat"))
               .when(bm == 1, F.lit("republican"))
               .when(bm == 2, F.lit("libertarian"))
@@ -88,14 +91,19 @@ def cvr(spark: SparkSession, sf_dir: str) -> DataFrame:
         party.alias("party"), magnitude.cast(T.ByteType()).alias("magnitude"))
 
 
-def compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Registry of released counties (already filtered to ``release == 1``)."""
+def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registry of all counties with their release state (0 or 1)."""
     na = table(spark, sf_dir, "nation")
     rg = table(spark, sf_dir, "region")
     return (na.join(rg, F.col("n_regionkey") == F.col("r_regionkey"))
-              .where(F.col("n_nationkey") % 7 != 0)
-              .select(F.col("r_name").alias("state"), F.col("n_name").alias("county_name"))
-              .distinct())
+              .select(F.col("r_name").alias("state"), F.col("n_name").alias("county_name"),
+                      (F.col("n_nationkey") % 7 != 0).cast("int").alias("release")))
+
+
+def compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Released counties, by the registry operator."""
+    from .io import released_counties
+    return released_counties(registry(spark, sf_dir))
 
 
 def draws(spark: SparkSession, sf_dir: str, per_chain: int = DRAWS_PER_CHAIN) -> DataFrame:
@@ -113,6 +121,61 @@ def draws(spark: SparkSession, sf_dir: str, per_chain: int = DRAWS_PER_CHAIN) ->
         F.col("v").cast("double").alias("value"))
 
 
+#: Sampler settings of the model-draws stand-in.
+MODEL_CHAINS, MODEL_PER_CHAIN = 4, 10
+
+
+def model_draws(voters: DataFrame, flat: DataFrame, flipped: bool = False) -> DataFrame:
+    """Posterior draws of every voter (``voters``: voter_id) and every candidate (``flat``:
+    param_idx, candidate_id), as formulas of the ids and the 1-based draw number: alpha per
+    voter, disc and diff per candidate, disc of reference candidates 0.  ``flipped`` turns
+    alpha and disc around in the draws divisible by three, as an unaligned sampler does."""
+    m = F.col("draw")
+    draws = F.explode(F.sequence(F.lit(1), F.lit(MODEL_CHAINS * MODEL_PER_CHAIN))).alias("draw")
+    j, i = F.col("voter_id"), F.col("param_idx")
+    flip = F.when((m % 3 == 0) & F.lit(flipped), F.lit(-1.0)).otherwise(F.lit(1.0))
+    a = voters.select("voter_id", draws).select("draw", F.lit("alpha").alias("variable"), j.cast("long").alias("idx"), (
+        flip * (((j * 37) % 201 - 100) / 50.0 + ((j * 13 + m * 29) % 41 - 20) / 40.0)).alias("value"))
+    disc = F.when(F.col("candidate_id") == 1, F.lit(0.0)).otherwise(
+        flip * (((i * 7) % 21 - 10) / 10.0 + ((i * 17 + m * 23) % 31 - 15) / 60.0))
+    diff = ((i * 11) % 17 - 8) / 8.0 + ((i * 19 + m * 31) % 37 - 18) / 50.0
+    both = F.explode(F.array(F.struct(F.lit("disc").alias("variable"), disc.alias("value")),
+                             F.struct(F.lit("diff").alias("variable"), diff.alias("value")))).alias("x")
+    c = flat.select("param_idx", "candidate_id", draws).select("draw", i.cast("long").alias("idx"), both) \
+            .select("draw", "x.variable", "idx", "x.value")
+    return a.unionByName(c).select(
+        (F.floor((m - 1) / MODEL_PER_CHAIN) + 1).cast("long").alias("chain"),
+        ((m - 1) % MODEL_PER_CHAIN + 1).cast("long").alias("iteration"), m.cast("long").alias("draw"), "variable", "idx", "value")
+
+
+def wide_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draws as a sampler writes them, one column per parameter: scalars, one and two
+    indices, 1-based numbers; from the first entries of ``embeddings``."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    names = ("lp__", "sigma_disc", "alpha[1]", "alpha[2]", "disc[1,1]", "disc[1,2]", "disc[2,1]")
+    return e.select(
+        (F.floor(F.col("vec_id") / DRAWS_PER_CHAIN) + 1).alias(".chain"), (F.col("vec_id") % DRAWS_PER_CHAIN + 1).alias(".iteration"),
+        (F.col("vec_id") + 1).alias(".draw"), *[F.get("embedding", F.lit(k)).alias(n) for k, n in enumerate(names)])
+
+
+#: Stand-in for the seat recode: codes and the offices of the stand-in contests.
+STANDIN_SEATS = {"federal:house": "economy", "federal:senate": "large", "state:upper": "medium", "state:lower": "small",
+                 "state:education": "standard"}
+
+
+def external_seat_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """External candidate scores as published: seat codes, election results, states and
+    unpadded districts; from ``supplier``."""
+    k = F.col("s_suppkey")
+    codes = F.array(*[F.lit(x) for x in (*STANDIN_SEATS, "local:council")])
+    districts = F.array(*[F.lit(x) for x in ("HIGH", "URGENT", "MEDIUM")])
+    return table(spark, sf_dir, "supplier").select(
+        F.get(codes, (k % 6).cast("int")).alias("seat"), F.get(districts, (F.floor(k / 6) % 3).cast("int")).alias("district"),
+        F.concat(F.lit("cand_"), (k % 7).cast("string")).alias("candidate"), (F.col("s_acctbal") / 1000.0).alias("cfscore"),
+        F.when(k % 5 == 0, 2018).otherwise(2020).alias("cycle"), F.when(k % 4 == 1, "L").when(k % 11 != 3, "W").alias("pwinner"),
+        F.when(k % 9 == 2, "XX").otherwise("CO").alias("state"))
+
+
 def external_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """External candidate scores (all cycles) from ``supplier``."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
@@ -141,7 +204,7 @@ SELECT state, county_name, precinct, cvr_id, office, district, candidate, party,
   CASE WHEN l_quantity = 50 THEN 'UNDERVOTE' WHEN l_quantity = 49 THEN 'Overvote'
        WHEN l_quantity = 48 THEN 'WriteIn 1'
        ELSE concat('cand_', CAST(CAST(substr(p_brand, 7) AS INT) % 7 AS VARCHAR)) END AS candidate,
-  CASE WHEN p_brand = 'Brand#7' THEN 'green'
+  CASE WHEN p_type = 'MEDIUM' THEN 'nonpartisan' WHEN p_brand = 'Brand#7' THEN 'green'
        WHEN CAST(substr(p_brand, 7) AS INT) % 7 = 0 THEN 'democrat'
        WHEN CAST(substr(p_brand, 7) AS INT) % 7 = 1 THEN 'republican'
        WHEN CAST(substr(p_brand, 7) AS INT) % 7 = 2 THEN 'libertarian'
@@ -154,9 +217,13 @@ SELECT state, county_name, precinct, cvr_id, office, district, candidate, party,
   JOIN part ON l_partkey = p_partkey) raw WHERE rn = 1
 """
 
-COMPARE_SQL = """
-SELECT DISTINCT r_name AS state, n_name AS county_name
-FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 7 <> 0
+REGISTRY_SQL = """
+SELECT r_name AS state, n_name AS county_name, CASE WHEN n_nationkey % 7 <> 0 THEN 1 ELSE 0 END AS release
+FROM nation JOIN region ON n_regionkey = r_regionkey
+"""
+
+COMPARE_SQL = f"""
+SELECT DISTINCT state, county_name FROM ({REGISTRY_SQL}) reg WHERE release = 1
 """
 
 DRAWS_SQL = f"""
@@ -169,6 +236,41 @@ SELECT CAST(vec_id // {DRAWS_PER_CHAIN} AS BIGINT) AS chain,
 FROM (SELECT vec_id, unnest(range(len(embedding))) AS p, unnest(embedding) AS v FROM embeddings) e
 """
 
+MODEL_DRAWS_SQL = f"""
+SELECT CAST((draw - 1) // {MODEL_PER_CHAIN} + 1 AS BIGINT) AS chain, CAST((draw - 1) % {MODEL_PER_CHAIN} + 1 AS BIGINT) AS iteration,
+       draw, variable, idx, value FROM (
+  SELECT m AS draw, 'alpha' AS variable, voter_id AS idx,
+    CAST((voter_id * 37) % 201 - 100 AS DOUBLE) / 50 + CAST((voter_id * 13 + m * 29) % 41 - 20 AS DOUBLE) / 40 AS value
+  FROM voter_ids, range(1, {MODEL_CHAINS * MODEL_PER_CHAIN + 1}) t(m)
+  UNION ALL
+  SELECT m, 'disc', param_idx, CASE WHEN candidate_id = 1 THEN 0.0 ELSE
+    CAST((param_idx * 7) % 21 - 10 AS DOUBLE) / 10 + CAST((param_idx * 17 + m * 23) % 31 - 15 AS DOUBLE) / 60 END
+  FROM flat, range(1, {MODEL_CHAINS * MODEL_PER_CHAIN + 1}) t(m)
+  UNION ALL
+  SELECT m, 'diff', param_idx,
+    CAST((param_idx * 11) % 17 - 8 AS DOUBLE) / 8 + CAST((param_idx * 19 + m * 31) % 37 - 18 AS DOUBLE) / 50
+  FROM flat, range(1, {MODEL_CHAINS * MODEL_PER_CHAIN + 1}) t(m)) x
+"""
+
+WIDE_LONG_SQL = f"""
+SELECT CAST(vec_id // {DRAWS_PER_CHAIN} + 1 AS BIGINT) AS chain, CAST(vec_id % {DRAWS_PER_CHAIN} + 1 AS BIGINT) AS iteration,
+       CAST(vec_id + 1 AS BIGINT) AS draw, n.variable, CAST(n.idx AS BIGINT) AS idx, CAST(n.idx2 AS BIGINT) AS idx2,
+       CAST(embedding[n.pos] AS DOUBLE) AS value
+FROM embeddings, (VALUES (1, 'lp__', NULL, NULL), (2, 'sigma_disc', NULL, NULL), (3, 'alpha', 1, NULL), (4, 'alpha', 2, NULL),
+                         (5, 'disc', 1, 1), (6, 'disc', 1, 2), (7, 'disc', 2, 1)) n(pos, variable, idx, idx2)
+"""
+
+SEAT_ROWS_SQL = """
+SELECT (['federal:house', 'federal:senate', 'state:upper', 'state:lower', 'state:education', 'local:council'])[s_suppkey % 6 + 1] AS seat,
+  (['economy', 'large', 'medium', 'small', 'standard', NULL])[s_suppkey % 6 + 1] AS office,
+  (['HIGH', 'URGENT', 'MEDIUM'])[CAST(floor(s_suppkey / 6) AS INT) % 3 + 1] AS district,
+  concat('cand_', CAST(s_suppkey % 7 AS VARCHAR)) AS candidate, s_acctbal / 1000.0 AS cfscore,
+  CASE WHEN s_suppkey % 5 = 0 THEN 2018 ELSE 2020 END AS cycle,
+  CASE WHEN s_suppkey % 4 = 1 THEN 'L' WHEN s_suppkey % 11 <> 3 THEN 'W' END AS pwinner,
+  CASE WHEN s_suppkey % 9 = 2 THEN 'XX' ELSE 'CO' END AS state
+FROM supplier
+"""
+
 EXT_SQL = """
 SELECT CASE s_suppkey % 6 WHEN 0 THEN 'economy' WHEN 1 THEN 'large' WHEN 2 THEN 'medium'
          WHEN 3 THEN 'prop_promo' WHEN 4 THEN 'small' ELSE 'standard' END AS office,

@@ -48,20 +48,26 @@ def read_csv_strings(spark: SparkSession, path: str, null_tokens=CSV_NULL_TOKENS
 def read_csv_inferred(spark: SparkSession, path: str, label_column: str | None = None,
                       label_value: str | None = None) -> DataFrame:
     """CSV with inferred types.  Files carrying one extra label row under the
-    header are read as strings, the label row is filtered out and types re-inferred
-    by casting numeric-looking columns to double."""
+    header are read as strings, the label row is filtered out, and every column whose
+    values (as far as there are any) all read as numbers becomes double: one aggregate
+    over the file tells which."""
     reader = spark.read.option("header", True)
     if label_column is None:
         return reader.option("inferSchema", True).csv(path)
     df = reader.option("inferSchema", False).csv(path)
     df = df.where(~F.coalesce(F.col(f"`{label_column}`") == F.lit(label_value), F.lit(False)))
-    return df
-
-
-def read_filtered_csv(spark: SparkSession, path: str, predicate, columns) -> DataFrame:
-    """Big CSV scan with filter and projection (Catalyst pushes both into the scan)."""
-    return spark.read.option("header", True).option("inferSchema", True).csv(path) \
-        .where(predicate).select(*columns)
+    number = {c: F.col(f"`{c}`").try_cast("double") for c in df.columns}
+    checks = df.agg(*[F.sum((F.col(f"`{c}`").isNotNull() & number[c].isNull()).cast("long")).alias(f"bad{i}")
+                      for i, c in enumerate(df.columns)],
+                    *[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(df.columns)]).first()
+    return df.select([number[c].alias(c) if checks[f"n{i}"] and not checks[f"bad{i}"] else F.col(f"`{c}`")
+                      for i, c in enumerate(df.columns)])
+
+
+def read_filtered_csv(spark: SparkSession, path: str, predicate, columns, schema) -> DataFrame:
+    """Big CSV scan with filter and projection in one pass.  ``schema`` gives the
+    types, so the file is not read twice; Catalyst pushes both into the scan."""
+    return spark.read.option("header", True).schema(schema).csv(path).where(predicate).select(*columns)
 
 
 def released_counties(registry: DataFrame) -> DataFrame:

@@ -1,6 +1,9 @@
 """Posterior-table operators checked against numpy brute force."""
 
+from statistics import NormalDist
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ideolens.plans import diagnostics as D
@@ -26,13 +29,66 @@ def test_split_rhat_brute_force(spark):
     assert abs(got - np.sqrt(((h - 1) / h * w + b / h) / w)) < 1e-12
 
 
-def test_rank_diagnostics_behave(spark):
+def test_split_halves_by_rank_not_by_number(spark):
+    """1-based, thinned and offset iterations split like 0-based ones."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((6, 3))
+    plain = _draws_frame(spark, x)
+    moved = plain.withColumn("iteration", F.col("iteration") * 5 + 1001)
+    assert D.split_rhat(plain).first().rhat == D.split_rhat(moved).first().rhat
+    sizes = {r.half: r["count"] for r in D.split_halves(moved).groupBy("half").count().collect()}
+    assert sizes == {0: 9, 1: 9}
+
+
+def _rank_rhat_numpy(x):
+    def split(y):
+        h = y.shape[0] // 2
+        return np.concatenate([y[:h], y[y.shape[0] - h:]], axis=1)
+
+    def basic(y):
+        z = np.array([NormalDist().inv_cdf((r - 0.375) / (y.size + 0.25)) for r in pd.Series(y.ravel()).rank()]).reshape(y.shape)
+        n = z.shape[0]
+        w = z.var(axis=0, ddof=1).mean()
+        return np.sqrt(((n - 1) / n * w + z.mean(axis=0).var(ddof=1)) / w)
+
+    return max(basic(split(x)), basic(split(np.abs(x - np.median(x)))))
+
+
+def test_rank_rhat_against_numpy_with_ties(spark):
     rng = np.random.default_rng(5)
-    good = _draws_frame(spark, rng.standard_normal((400, 4)), idx=1)
-    bad = _draws_frame(spark, rng.standard_normal((400, 4)) + np.array([0, 0, 0, 3.0]), idx=2)
-    r = {row.idx: row for row in D.rank_diagnostics(good.unionByName(bad)).collect()}
-    assert abs(r[1].rhat - 1) < 0.02 and r[1].ess_bulk > 1000 and r[1].ess_tail > 800
-    assert r[2].rhat > 1.1
+    frames, want = None, {}
+    for idx, x in ((1, rng.standard_normal((40, 4))), (2, np.round(rng.standard_normal((41, 4)), 1) + np.array([0, 0, 0, 3.0])),
+                   (None, rng.standard_t(2, (30, 2)))):
+        f = _draws_frame(spark, x, idx=idx)
+        frames = f if frames is None else frames.unionByName(f)
+        want[idx] = _rank_rhat_numpy(x)
+    got = {r.idx: r.rhat for r in D.rank_rhat(frames).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_ess_of_independent_and_of_sticky_chains(spark):
+    """Independent draws count about fully; a chain with autocorrelation rho counts about
+    (1 - rho) / (1 + rho) of its length.  Scalars have no index."""
+    rng = np.random.default_rng(6)
+    sticky = np.zeros((2000, 4))
+    for t in range(1, 2000):
+        sticky[t] = 0.8 * sticky[t - 1] + rng.standard_normal(4)
+    both = _draws_frame(spark, rng.standard_normal((400, 4)), "free", None).unionByName(_draws_frame(spark, sticky, "sticky", 1))
+    r = {row.variable: row for row in D.ess(both).collect()}
+    assert 1200 < r["free"].ess_bulk < 2200 and r["free"].idx is None
+    assert 0.6 * 8000 / 9 < r["sticky"].ess_bulk < 1.6 * 8000 / 9
+
+
+def test_scalars_and_two_indices_are_kept_apart(spark):
+    rows = [(1, i, i, v, a, b, float(i * k)) for i in range(1, 9)
+            for k, (v, a, b) in enumerate([("lp__", None, None), ("alpha", 1, None), ("beta", 1, 1), ("beta", 1, 2)], 1)]
+    df = spark.createDataFrame(rows, "chain long, iteration long, draw long, variable string, idx long, idx2 long, value double")
+    s = {(r.variable, r.idx, r.idx2): r.mean for r in D.summarise_all(df).collect()}
+    assert s == {("lp__", None, None): 4.5, ("alpha", 1, None): 9.0, ("beta", 1, 1): 13.5, ("beta", 1, 2): 18.0}
+    assert D.trace_table(df, 10, threshold=0.0).count() == 32
+    assert SC.compare_fits(df, df, "none").count() == 4
+    assert SC.fits_correlation(df, df, "none").first().n == 4
 
 
 def test_align_signs_restores_flips(spark):
@@ -45,10 +101,10 @@ def test_align_signs_restores_flips(spark):
         for v in range(12):
             draws.append((0, m, m, "gamma", v + 1, float(s * (load[v] + 0.1 * rng.standard_normal()))))
     df = spark.createDataFrame(draws, "chain long, iteration long, draw long, variable string, idx long, value double")
-    signs, rounds = DR.align_signs(df, "gamma")
+    signs, rounds, converged = DR.align_signs(df, "gamma")
     got = {r.draw: r.sign for r in signs.collect()}
     prod = {got[m] * flips[m] for m in flips}
-    assert len(prod) == 1 and rounds <= 10          # every sign recovered up to one global sign
+    assert len(prod) == 1 and rounds <= 10 and converged          # every sign recovered up to one global sign
 
 
 def test_cutpoint_correlation_moments_equal_pairs(spark):
@@ -72,6 +128,24 @@ def test_weighted_density_integrates_to_one(spark):
     assert abs(np.trapezoid(ys, xs) - 1) < 0.01
 
 
+def test_weighted_density_against_the_rows(spark):
+    """The binned kernel sum is close to the sum over the rows; a group without spread
+    keeps its grid with no density."""
+    rng = np.random.default_rng(12)
+    v, w = rng.standard_normal(2000), rng.uniform(0.5, 2, 2000)
+    rows = [("g", float(a), float(b)) for a, b in zip(v, w)] + [("one", 1.0, 1.0), ("flat", 2.0, 1.0), ("flat", 2.0, 3.0)]
+    df = spark.createDataFrame(rows, "choice string, mean double, precision double")
+    got = SC.weighted_density(df, "choice").collect()
+    bw = 1.06 * v.std(ddof=1) * 2000 ** -0.2
+    for r in got:
+        if r.choice == "g":
+            want = (w * np.exp(-0.5 * ((r.x - v) / bw) ** 2)).sum() / (bw * w.sum() * np.sqrt(2 * np.pi))
+            assert abs(r.density - want) < 1e-4
+        else:
+            assert r.density is None
+    assert sorted((r.choice, r.g) for r in got) == sorted((c, g) for c in ("flat", "g", "one") for g in range(64))
+
+
 def test_draws_from_wide_parses_indices(spark):
     wide = spark.createDataFrame([(1, 1, 1, 0.5, 1.5, -2.0)],
                                  "`.chain` int, `.iteration` int, `.draw` int, `alpha[12]` double, `beta[3,2]` double, lp__ double")

@@ -31,11 +31,11 @@ def test_probabilities_sum_to_one(spark, sf_small):
 
 def test_ragged_dense_round_trip(spark, sf_small):
     votes, ids, voters, alpha, params = _fixed(spark, sf_small)
-    races = [r[0] for r in ids.select("race_id").distinct().orderBy("race_id").collect()]
-    dense = E.dense_votes(votes, races)
-    back = dense.unpivot(["voter_id"], [str(r) for r in races], "race_id", "candidate_id") \
-                .where(F.col("candidate_id") != 0) \
-                .select("voter_id", F.col("race_id").cast("long"), "candidate_id")
+    dense = E.dense_votes(votes, ids)
+    width = ids.select("race_id").distinct().count()
+    assert {len(r.choices) for r in dense.select("choices").collect()} == {width}
+    back = dense.select("voter_id", F.posexplode("choices").alias("at", "candidate_id")).where("candidate_id <> 0") \
+                .select("voter_id", (F.col("at") + 1).cast("long"), "candidate_id")
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, votes.collect()))
 
 
