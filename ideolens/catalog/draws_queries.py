@@ -381,11 +381,12 @@ def _scored(spark, d):
 
 
 @q("cutpoints", W("""
-SELECT DISTINCT race, round(cut_bayes, 4) AS cut_bayes, round(cut_dime, 4) AS cut_dime FROM (
+SELECT DISTINCT race, round(cut_bayes, 4) AS cut_bayes, round(cut_dime, 7) AS cut_dime FROM (
   SELECT a.race, (a.bayes_ideal + b.bayes_ideal) / 2 AS cut_bayes, (a.dime_ideal + b.dime_ideal) / 2 AS cut_dime
   FROM scored a JOIN scored b ON a.race = b.race AND a.candidate < b.candidate) p""", "scored"))
 def cutpoints(spark, d):
-    return round_doubles(SC.cutpoints(_scored(spark, d))).distinct()
+    # the external scores carry five decimals, so their midpoints have six
+    return round_doubles(SC.cutpoints(_scored(spark, d)), cut_dime=7).distinct()
 
 
 @q("cutpoint_correlation", W("""

@@ -135,10 +135,10 @@ def model_draws(voters: DataFrame, flat: DataFrame, flipped: bool = False) -> Da
     j, i = F.col("voter_id"), F.col("param_idx")
     flip = F.when((m % 3 == 0) & F.lit(flipped), F.lit(-1.0)).otherwise(F.lit(1.0))
     a = voters.select("voter_id", draws).select("draw", F.lit("alpha").alias("variable"), j.cast("long").alias("idx"), (
-        flip * (((j * 37) % 201 - 100) / 50.0 + ((j * 13 + m * 29) % 41 - 20) / 40.0)).alias("value"))
+        flip * (((j * 37) % 201 - 100) / 50.3 + ((j * 13 + m * 29) % 41 - 20) / 41.7)).alias("value"))
     disc = F.when(F.col("candidate_id") == 1, F.lit(0.0)).otherwise(
-        flip * (((i * 7) % 21 - 10) / 10.0 + ((i * 17 + m * 23) % 31 - 15) / 60.0))
-    diff = ((i * 11) % 17 - 8) / 8.0 + ((i * 19 + m * 31) % 37 - 18) / 50.0
+        flip * (((i * 7) % 21 - 10) / 10.3 + ((i * 17 + m * 23) % 31 - 15) / 61.3))
+    diff = ((i * 11) % 17 - 8) / 8.7 + ((i * 19 + m * 31) % 37 - 18) / 53.9
     both = F.explode(F.array(F.struct(F.lit("disc").alias("variable"), disc.alias("value")),
                              F.struct(F.lit("diff").alias("variable"), diff.alias("value")))).alias("x")
     c = flat.select("param_idx", "candidate_id", draws).select("draw", i.cast("long").alias("idx"), both) \
@@ -240,15 +240,15 @@ MODEL_DRAWS_SQL = f"""
 SELECT CAST((draw - 1) // {MODEL_PER_CHAIN} + 1 AS BIGINT) AS chain, CAST((draw - 1) % {MODEL_PER_CHAIN} + 1 AS BIGINT) AS iteration,
        draw, variable, idx, value FROM (
   SELECT m AS draw, 'alpha' AS variable, voter_id AS idx,
-    CAST((voter_id * 37) % 201 - 100 AS DOUBLE) / 50 + CAST((voter_id * 13 + m * 29) % 41 - 20 AS DOUBLE) / 40 AS value
+    CAST((voter_id * 37) % 201 - 100 AS DOUBLE) / 50.3 + CAST((voter_id * 13 + m * 29) % 41 - 20 AS DOUBLE) / 41.7 AS value
   FROM voter_ids, range(1, {MODEL_CHAINS * MODEL_PER_CHAIN + 1}) t(m)
   UNION ALL
   SELECT m, 'disc', param_idx, CASE WHEN candidate_id = 1 THEN 0.0 ELSE
-    CAST((param_idx * 7) % 21 - 10 AS DOUBLE) / 10 + CAST((param_idx * 17 + m * 23) % 31 - 15 AS DOUBLE) / 60 END
+    CAST((param_idx * 7) % 21 - 10 AS DOUBLE) / 10.3 + CAST((param_idx * 17 + m * 23) % 31 - 15 AS DOUBLE) / 61.3 END
   FROM flat, range(1, {MODEL_CHAINS * MODEL_PER_CHAIN + 1}) t(m)
   UNION ALL
   SELECT m, 'diff', param_idx,
-    CAST((param_idx * 11) % 17 - 8 AS DOUBLE) / 8 + CAST((param_idx * 19 + m * 31) % 37 - 18 AS DOUBLE) / 50
+    CAST((param_idx * 11) % 17 - 8 AS DOUBLE) / 8.7 + CAST((param_idx * 19 + m * 31) % 37 - 18 AS DOUBLE) / 53.9
   FROM flat, range(1, {MODEL_CHAINS * MODEL_PER_CHAIN + 1}) t(m)) x
 """
 
