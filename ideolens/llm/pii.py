@@ -7,7 +7,7 @@ distinct entities gives each a surrogate derived from a secret key.  A surrogate
 of the original: digits for digits, letters of the same script for letters, a given name of
 the same gender, valid octets, a card number with a valid check digit if the original's is.
 Surrogates that two entities share, or that equal an entity of the corpus, are drawn again
-until all are distinct.
+until all are distinct; after some attempts they grow, so a form with too few values ends too.
 """
 
 from __future__ import annotations
@@ -59,6 +59,8 @@ PATTERN = "|".join(KINDS.values())
 #: A text without any of these has no mention.
 SIEVE = rf"@|[0-9][0-9.()\x20-]{{5}}|(?:{_TITLES}|{_GIVEN})\.?\x20"
 BLOCKS = 4
+#: From this attempt on a surrogate is longer than its original, by one more character each time.
+WIDEN = 8
 
 
 def _script(text):
@@ -125,6 +127,12 @@ def _surrogate(key: str):
                             .when(c.rlike("^[a-z]$"), letter(c, i, LETTERS["latin"]))
                             .when(c.rlike("^[A-Z]$"), letter(c, i, LETTERS["latin"].upper())).otherwise(c)), "")
 
+    def wider(text, letters):
+        """Further characters, from the first attempt on for a text without letters and digits."""
+        n = F.when(text.rlike("[0-9A-Za-z]"), attempt - (WIDEN - 1)).otherwise(attempt + 1)
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: letter(
+            None, i + F.length(text), letters)), "")).otherwise("")
+
     def pick(values):
         return F.element_at(F.array(*[F.lit(v) for v in values]), 1 + byte(F.lit(0)) % len(values))
 
@@ -144,18 +152,21 @@ def _surrogate(key: str):
         return F.when(attempt < 4, listed).otherwise(made(script))
 
     card = renew(norm, 1)
-    body = F.substring(card, F.lit(1), F.length(norm) - 1)
+    body = F.concat(F.substring(card, F.lit(1), F.length(norm) - 1), wider(norm, "0123456789"))
     check = ((10 - _luhn(F.concat(body, F.lit("0"))) % 10) % 10).cast("string")
     octets = F.concat_ws(".", *[(1 + byte(F.lit(i)) % 254).cast("string") for i in range(4)])
+    more_octets = F.regexp_replace(wider(norm, "123456789"), "(.)", r".$1")
     local, domain = F.substring_index(norm, "@", 1), F.col("norm")
     top = F.concat(F.lit("."), F.substring_index(domain, ".", -1))
-    value = (F.when(F.col("type") == "email", F.concat(renew(local), F.lit("@"), F.substring_index(norm, "@", -1)))
-             .when(F.col("type") == "domain", F.concat(renew(F.substring(domain, F.lit(1), F.length(domain) - F.length(top))), top))
-             .when(F.col("type") == "iban", renew(norm, 2))
-             .when(F.col("type") == "ip", octets)
-             .when(F.col("type") == "ssn", renew(norm))
-             .when(F.col("type") == "card", F.when(_luhn(norm) % 10 == 0, F.concat(body, check)).otherwise(card))
-             .when(F.col("type") == "phone", renew(norm, 1))
+    labels = F.substring(domain, F.lit(1), F.length(domain) - F.length(top))
+    letters, digits = LETTERS["latin"], "0123456789"
+    value = (F.when(F.col("type") == "email", F.concat(renew(local), wider(local, letters), F.lit("@"), F.substring_index(norm, "@", -1)))
+             .when(F.col("type") == "domain", F.concat(renew(labels), wider(labels, letters), top))
+             .when(F.col("type") == "iban", F.concat(renew(norm, 2), wider(norm, digits)))
+             .when(F.col("type") == "ip", F.concat(octets, more_octets))
+             .when(F.col("type") == "ssn", F.concat(renew(norm), wider(norm, digits)))
+             .when(F.col("type") == "card", F.when(_luhn(norm) % 10 == 0, F.concat(body, check)).otherwise(F.concat(card, wider(norm, digits))))
+             .when(F.col("type") == "phone", F.concat(renew(norm, 1), wider(norm, digits)))
              .when(F.col("type").startswith("given"), by_script(given))
              .otherwise(by_script(made)))
     return stream, value
@@ -164,7 +175,8 @@ def _surrogate(key: str):
 def assign(entities: DataFrame, key: str) -> DataFrame:
     """(type, norm, surrogate) for distinct entities (type, norm): no two of a type share a
     surrogate, and none is an entity of its type.  Each round draws again for those that
-    clash; of several that draw the same, the smallest keeps it."""
+    clash; of several that draw the same, the smallest keeps it.  Surrogates grow with the
+    attempts, so there are always free ones."""
     stream, value = _surrogate(key)
     done, open_ = None, settle(entities.withColumn("attempt", F.lit(0)))
     family = F.when(F.col("type").startswith("given"), "given").otherwise(F.col("type"))
@@ -188,16 +200,18 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
 
 
 def _in_form_of(raw, kind, surrogate):
-    """The surrogate with the separators and the case of the mention."""
+    """The surrogate with the separators and the case of the mention; what it has more follows."""
     def next_digit(state, c):
         is_digit = c.rlike("^[0-9A-Z]$")
         return F.struct(F.concat(state["out"], F.when(is_digit, F.substring(surrogate, state["at"], 1)).otherwise(c)).alias("out"),
                         (state["at"] + is_digit.cast("int")).alias("at"))
 
-    spaced = F.aggregate(F.split(raw, "", -1), F.struct(F.lit("").alias("out"), F.lit(1).alias("at")), next_digit, lambda s: s["out"])
+    spaced = F.aggregate(F.split(raw, "", -1), F.struct(F.lit("").alias("out"), F.lit(1).alias("at")), next_digit,
+                         lambda s: F.concat(s["out"], F.substring(surrogate, s["at"], F.length(surrogate))))
     text = F.when(kind == "email", F.substring_index(surrogate, "@", 1)).otherwise(surrogate)
     cased = F.array_join(F.transform(F.split(raw, "", -1), lambda c, i: F.when(
         c.rlike("^[A-Z]$"), F.upper(F.substring(text, i + 1, 1))).otherwise(F.substring(text, i + 1, 1))), "")
+    cased = F.concat(cased, F.substring(text, F.length(raw) + 1, F.length(text)))
     lead = F.when(raw.startswith(" "), " ").otherwise("")
     name = F.when(F.upper(raw) == raw, F.upper(surrogate)).otherwise(surrogate)
     return (F.when(kind.isin("email", "domain"), cased).when(kind.isin("card", "phone", "ssn", "iban"), spaced)

@@ -77,3 +77,27 @@ def test_columns(clashing, empty):
     out = pii.replace_pii(clashing, "k")
     assert out.columns == [*clashing.columns, "n_entities"] and out.count() == clashing.count()
     assert pii.replace_pii(empty, "k").count() == 0
+
+
+def test_forms_without_free_values_end(spark):
+    """Locals of punctuation alone, all one-letter locals and all one-digit labels: surrogates grow."""
+    addresses = ["...@gmail.com", "_@x.com", "_@gmail.com"] + [f"{chr(97 + i)}@mail.com" for i in range(26)] + [f"Pkg@{i}.0" for i in range(10)]
+    got = run(spark, addresses)
+    assert all(n == 1 for _, n in got.values())
+    new = [got[i][0].lower() for i in range(len(addresses))]
+    assert len(set(new)) == len(new) and not set(new) & {x.lower() for x in addresses}
+    assert all(re.fullmatch(pii.KINDS["email"], x) for x in new)
+    assert re.fullmatch(r"\.\.\.[a-z]+@[a-z]{5}\.com", new[0]) and re.fullmatch(r"_[a-z]+@[a-z]\.com", new[1])
+    assert all(re.fullmatch(r"[a-z]{2,}@[a-z]{4}\.com", x) for x in new[3:29]) and len({x.split("@")[1] for x in new[3:29]}) == 1
+    assert all(re.fullmatch(r"[a-z]{3}@[0-9][a-z]+\.0", x) for x in new[29:]) and all(got[i][0][0].isupper() for i in range(29, 39))
+
+
+def test_longer_surrogates_of_numbers_keep_their_form(spark):
+    numbers = [("ssn", "123456789"), ("card", "4111111111111111"), ("phone", "19885552485"), ("iban", "DE89370400440532013000"), ("ip", "10.0.0.12")]
+    rows = spark.createDataFrame([(k, n, pii.WIDEN + 1) for k, n in numbers], "type string, norm string, attempt int")
+    stream, value = pii._surrogate("k")
+    new = {r["type"]: r["s"] for r in rows.withColumn("stream", stream).withColumn("s", value).collect()}
+    assert re.fullmatch(r"\d{11}", new["ssn"]) and re.fullmatch(r"4\d{17}", new["card"]) and luhn(new["card"])
+    assert re.fullmatch(r"1\d{12}", new["phone"]) and re.fullmatch(r"DE\d{22}", new["iban"]) and re.fullmatch(r"\d+(\.\d+){5}", new["ip"])
+    raw = spark.createDataFrame([("ssn", "123-45-6789", "99988777766")], "type string, raw string, s string")
+    assert raw.select(pii._in_form_of(raw["raw"], raw["type"], raw["s"])).first()[0] == "999-88-777766"
