@@ -46,9 +46,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each component of near-duplicates: the row with the smallest doc_id;
     of several rows with this id, or if no row has an id, the one with the smallest text hash."""
     found = simhash.near_duplicates(docs)
-    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp")))
-    least = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(group.alias("of"))
-             .agg(F.min(F.struct("tkey", "doc_id")).alias("x")).select("x.*"))
+    least = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tkey")).alias("x")).select("x.doc_id", "x.tkey")
     copies = found.groupBy("doc_id", "tkey").agg(F.count("*").alias("n"))
     one = broadcast_if_small(settle(join_rows(copies, least, "left_semi")), 56)
     rows = join_rows(pack(docs, "doc_id", text_key().alias("tkey")), one)

@@ -242,12 +242,13 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """doc_id, tkey, fp (long) and component_id (smallest doc_id reachable) per row of docs.
+    """doc_id, tkey, fp (long), root and component_id (smallest doc_id reachable) per row of docs.
 
     Texts whose fingerprints differ in ``max_bits`` bits or fewer are linked, and links chain.
     Null and empty texts have fingerprint zero, linked like any other; fewer words than a
     shingle make one shingle; repeated rows share their fingerprint.  A component without
-    any doc_id has a null component_id; an empty table gives an empty result."""
+    any doc_id has a null component_id, and two may have the same one if their rows share the
+    id; ``root``, a fingerprint, tells components apart.  An empty table gives an empty result."""
     short_batches(docs)
 
     def run(batches):
@@ -262,5 +263,5 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> Dat
     of = prints.join(roots, prints["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    table = settle(of.join(least, "root").select("fp", "component_id"))
-    return base.join(table, "fp").select("doc_id", "tkey", "fp", "component_id")
+    table = settle(of.join(least, "root").select("fp", "root", "component_id"))
+    return base.join(table, "fp").select("doc_id", "tkey", "fp", "root", "component_id")

@@ -1,6 +1,7 @@
 import collections
 
 import corpus_pipeline
+import pyarrow as pa
 from helpers import words
 from pyspark.sql import functions as F
 from test_lines import brute as lines_brute  # noqa: F401
@@ -9,6 +10,8 @@ from test_simhash import fingerprint, groups
 from test_toxicity import BAD
 from test_winnowing import brute as overlaps_brute
 
+from ideolens.llm import simhash
+
 COMMON = "Subscribe to our newsletter for more of this."
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, tkey string"
 
@@ -126,3 +129,21 @@ def test_null_ids(spark, prose, table_dir):
     out = corpus_pipeline.run(spark, d)
     assert out.count() == 4 and out.where(F.col("taken") > 3 * F.col("size")).count() == 0
     assert sorted(r["size"] for r in out.collect()) == sorted([len(words(prose(1))), len(words(prose(2))), len(words(prose(3))), 0])
+
+
+def test_near_copies_are_grouped_by_component(spark, prose):
+    """One id on several texts, and near copies without any id, whose fingerprints differ."""
+    def near(text):
+        first = int(simhash.fingerprints(pa.array([text]))[0].as_py())
+        for i in range(200):
+            other = f"{text} end{i}"
+            bits = ((first ^ int(simhash.fingerprints(pa.array([other]))[0].as_py())) & (1 << 64) - 1).bit_count()
+            if 0 < bits <= 4:
+                return other
+        raise AssertionError
+
+    a, b, c, d = (prose(i, 300) for i in range(1, 5))
+    rows = [(1, a), (1, b), (1, b), (2, near(b)), (1, c), (None, d), (None, near(d)), (None, near(d))]
+    got = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()]
+    assert sorted(x for x in got if x[0]) == sorted([(1, a), (1, b), (1, c)])
+    assert len(got) == 4 and [x for x in got if x[0] is None][0][1] in (d, near(d))
