@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ideolens.llm import kneser_ney, lines, mixing, oracles, pii, pitman_yor, quality_bands, secret_scan, simhash, toxicity, winnowing
+from ideolens.llm import alignment, byte_bpe, kneser_ney, lines, mixing, oracles, pii, pitman_yor, quality_bands, secret_scan, simhash, toxicity, winnowing
 from ideolens.llm.rows import table
 
 
@@ -67,6 +67,28 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def tokenizer_file(name: str) -> str:
+    """Place of an installed public vocabulary file; give the operators any other path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op11_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                          tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_a") == 0, "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = tokenizer_file("byte_bpe_multi_50k.tiktoken")
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks)
+    out = byte_bpe.decode(encoded.select("doc_id", "ids"), ranks)
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                      F.sha2("ids", 256).alias("ids_sha256"), F.sha2("raw", 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,7 +96,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (op1_mix_sources, op2_pii_surrogates, op3_decontaminate, op4_drop_common_lines, op5_secret_scan, op6_pitman_yor,
-           op7_kneser_ney, op8_toxicity, op9_quality_bands, op10_simhash, pipeline)
+           op7_kneser_ney, op8_toxicity, op9_quality_bands, op10_simhash, op11_align_tokenizers, op13_byte_bpe, pipeline)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
