@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ideolens.llm import alignment, byte_bpe, kneser_ney, lines, mixing, oracles, pii, pitman_yor, quality_bands, secret_scan, simhash, toxicity, winnowing
+from ideolens.llm import alignment, byte_bpe, kneser_ney, lines, mixing, oracles, periodic_runs, pii, pitman_yor, quality_bands, secret_scan, simhash, toxicity, winnowing
 from ideolens.llm.rows import table
 
 
@@ -81,6 +81,36 @@ def op11_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
 
 
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text; for h = crc32(decimal doc_id) divisible by 10 and g = h div 10, each
+    word i >= a of the n words becomes word a + (i - a) mod p, with a = g mod n and
+    p = 1 + (n - a) div (3 + g mod 8)."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    listed = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, F.filter(
+        F.split("text", r"[\x20\x09-\x0D]+", -1), lambda x: x != "")).alias("words"))
+    n = F.size("words").cast("long")
+    a = F.expr("h div 10") % n
+    numbered = listed.select("doc_id", "text", "words", n.alias("n"), a.alias("a"), F.expr("h div 10").alias("g"))
+    numbered = numbered.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    source = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    planted = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.get("words", source(i).cast("int")))
+    return numbered.select("doc_id", F.when(F.col("n") > 0, F.array_join(planted, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(with_planted_periods(table(spark, sf_dir, "documents")))
+    # the first of the runs with the greatest length / period, compared without rounding
+    better = lambda x, y: x["length"] * y["period"] > y["length"] * x["period"]
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda top, x: F.when(better(x, top), x).otherwise(top))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    told = F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise("")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"),
+                        F.sha2(told.cast("binary"), 256).alias("runs_sha256"),
+                        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256")).select(
+        "doc_id", "n_runs", "b.start", "b.length", "b.period", F.expr("1000 * b.length div b.period").alias("exponent_milli"),
+        "runs_sha256", "collapsed_sha256")
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = tokenizer_file("byte_bpe_multi_50k.tiktoken")
     encoded = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks)
@@ -96,7 +126,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (op1_mix_sources, op2_pii_surrogates, op3_decontaminate, op4_drop_common_lines, op5_secret_scan, op6_pitman_yor,
-           op7_kneser_ney, op8_toxicity, op9_quality_bands, op10_simhash, op11_align_tokenizers, op13_byte_bpe, pipeline)
+           op7_kneser_ney, op8_toxicity, op9_quality_bands, op10_simhash, op11_align_tokenizers, op12_periodic_runs,
+           op13_byte_bpe, pipeline)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
