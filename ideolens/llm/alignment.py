@@ -400,7 +400,7 @@ def align(docs: DataFrame, byte_level: str, piece: str, frequent: int | None = N
     spark = docs.sparkSession
     a, b = V.ship(spark, byte_level, ByteLevel), V.ship(spark, piece, Pieces)
     rows = pack(docs, F.col("text").cast("string").alias("t"))
-    counted = settle(with_best(count_pairs(rows.select("t"), a, b)))
+    counted = settle(with_best(settle(count_pairs(rows.select("t"), a, b))))
     sent, rest = split_table(counted, "n", *([] if frequent is None else [frequent]))
     sent = sent.toArrow()  # at most ``frequent`` rows
     order = np.argsort(sent["key"].to_numpy())
