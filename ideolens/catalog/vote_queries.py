@@ -246,7 +246,9 @@ FROM (SELECT *, abs(p_dem - p_rep) AS delta FROM (
           CAST(sum(CASE WHEN s.side = 2 THEN 1 ELSE 0 END) AS BIGINT) AS n_rep
         FROM all_valid a JOIN side s ON a.state = s.state AND a.county_name = s.county_name AND a.cvr_id = s.cvr_id
         GROUP BY a.race, a.candidate) x) y) z""", "all_valid", extra={
-    "refoffice": ("""SELECT office FROM all_valid GROUP BY office ORDER BY count(*) DESC, office LIMIT 1""",
+    "refoffice": ("""SELECT office FROM all_valid WHERE office IS NOT NULL GROUP BY office
+      HAVING count(*) FILTER (party = 'democrat') > 0 AND count(*) FILTER (party = 'republican') > 0
+      ORDER BY count(*) DESC, office LIMIT 1""",
                   ["all_valid"]),
     "side": ("""SELECT state, county_name, cvr_id,
         max(CASE WHEN party = 'democrat' THEN 1 WHEN party = 'republican' THEN 2 END) AS side

@@ -134,8 +134,11 @@ def choosers(choices: DataFrame, pairs: DataFrame, voter_col: str = "voter_id")
 
 
 def largest_office(data: DataFrame) -> DataFrame:
-    """The office with most rows (ties by name) as a one-row table."""
-    counts = data.groupBy("office").agg(F.count(F.lit(1)).alias("_n"))
+    """The office with most rows (ties by name) among those in which both parties stand, as a
+    table of at most one row."""
+    sides = [F.count(F.when(F.col("party") == side, 1)) for side in ("democrat", "republican")]
+    counts = data.where(F.col("office").isNotNull()).groupBy("office").agg(
+        F.count(F.lit(1)).alias("_n"), F.least(*sides).alias("_both")).where(F.col("_both") > 0)
     w = Window.orderBy(F.desc("_n"), F.asc("office"))
     return counts.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).select("office")
 
@@ -143,7 +146,7 @@ def largest_office(data: DataFrame) -> DataFrame:
 def party_delta(data: DataFrame, reference_office: str | None = None, key=VOTER_KEY) -> DataFrame:
     """For each candidate |P(c | Democratic voter) - P(c | Republican voter)|
     and the race maximum.  A voter's side is the party of their choice in the
-    reference office (default: the office with the most rows)."""
+    reference office (default: the office with the most rows in which both parties stand)."""
     if reference_office is None:
         # at most one row (row_number = 1), so the broadcast size is fixed; a shuffle
         # join on ``office`` would put the largest office, by definition the

@@ -135,3 +135,15 @@ def test_csv_null_tokens(spark, tmp_path):
     d = V.contest_dictionary(io.read_csv_strings(spark, str(p)))
     got = sorted((r.county_name, r.office, r.district) for r in d.collect())
     assert got == [("ADAMS", "US HOUSE", "008"), ("DENVER", "JUDGE", "DENVER")]
+
+
+def test_party_delta_when_the_largest_office_is_nonpartisan(spark):
+    """Sides come from the largest office in which both parties stand; none gives no rows."""
+    rows = [("s", "c", str(i), "judge", "judge", "x", "nonpartisan") for i in range(9)]
+    rows += [("s", "c", str(i), "mayor", "mayor", "d" if i % 2 else "r", "democrat" if i % 2 else "republican") for i in range(6)]
+    cols = "state string, county_name string, cvr_id string, race string, office string, candidate string, party string"
+    data = spark.createDataFrame(rows, cols)
+    out = {(r.race, r.candidate): r for r in V.party_delta(data).collect()}
+    assert out["mayor", "d"].n_dem == 3 and out["mayor", "d"].n_rep == 0 and out["mayor", "d"].delta == 1.0
+    assert out["judge", "x"].delta == 0.0
+    assert V.party_delta(data.where("office = 'judge'")).count() == 0
