@@ -59,7 +59,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_bands.judge(table(spark, sf_dir, "documents"))
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality_bands.judge(table(spark, sf_dir, "documents"), trusted)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
