@@ -27,6 +27,7 @@ import sys
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 import tokenizers
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 
 from ideolens.llm import vocabularies as V
 from ideolens.llm import words as W
+from ideolens.llm.byte_bpe import encode_text
 from ideolens.llm.rows import pack, settle, short_batches, unpack
 from ideolens.llm.token_sums import distinct, runs, split_table
 
@@ -43,6 +45,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 REMEMBERED = 1 << 19
 #: Pairs that a task gathers before it hands their counts on.
 GATHERED = 1 << 20
+#: First character beyond the Latin blocks, whose classes no version of Unicode has changed,
+#: and the largest first byte of a character before it.
+LATIN_END, LATIN_BYTE = "\u0250", 0xC9
 #: Bytes that are no blank or part of a character above ASCII.
 INK = W.byte_class((0x20, 0x20), (0x09, 0x0D), (0x1C, 0x1F))
 #: Pair keys are id of A * SHIFT + id of B.
@@ -71,11 +76,22 @@ class ByteLevel:
         for text, i in self.model.get_vocab(with_added_tokens=False).items():
             self.token[i] = bytes(alphabet[c] for c in text)
         kind = json.loads(data)
-        before = kind.get("pre_tokenizer") or {}
+        before, model = kind.get("pre_tokenizer") or {}, kind["model"]
         self.cuts_at_blanks = (before.get("type") == "ByteLevel" and before.get("use_regex", True)
                                and not before.get("add_prefix_space") and not kind.get("normalizer"))
+        # merges that make their tokens in the order of ids are a table of ranks, which the
+        # faster library takes; both libraries split Latin text alike, whatever their Unicode
+        vocab, merges = model.get("vocab", {}), [x.split(" ") if isinstance(x, str) else x for x in model.get("merges", [])]
+        made = [vocab.get(a + b, -1) for a, b in merges]
+        plain = not any(model.get(k) for k in ("dropout", "ignore_merges", "byte_fallback", "continuing_subword_prefix", "end_of_word_suffix"))
+        self.ranked = None
+        if self.cuts_at_blanks and plain and made == sorted(set(made)) and len(made) + 256 == len(vocab) and min(made, default=256) >= 256:
+            self.ranked = tiktoken.Encoding("ranked", pat_str=V.PATTERN, special_tokens={},
+                                            mergeable_ranks={self.token[i]: i for i in vocab.values()})
 
     def encode(self, text: str) -> list[int]:
+        if self.ranked is not None and max(text) < LATIN_END:
+            return encode_text(self.ranked, text).tolist()
         return self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
 
@@ -197,12 +213,14 @@ class Aligner:
             alone = ~INK[final]
             for k in np.flatnonzero(final >= 0x80):
                 alone[k] = data[max(starts[new[k]], ends[new[k]] - 3):ends[new[k]]].tobytes().decode(errors="ignore")[-1:].isspace()
-            order = np.argsort(alone, kind="stable")
+            # Latin chunks together, then the other ones, then those
+            part = np.where(alone, 2, np.maximum.reduceat(data, starts)[new] > LATIN_BYTE)
+            order = np.argsort(part, kind="stable")
             new, named = new[order], asked[~known][order]
             raw = data.tobytes()
             chunks = [raw[s:e] for s, e in zip(starts[new].tolist(), ends[new].tolist())]
-            joined = len(new) - int(alone.sum())
-            parts = ([chunks[:joined]] if joined else []) + [[c] for c in chunks[joined:]]
+            latin, joined = np.searchsorted(part[order], (1, 2)).tolist()
+            parts = [x for x in (chunks[:latin], chunks[latin:joined]) if x] + [[c] for c in chunks[joined:]]
             a, b, same = functools.reduce(self._joined, map(self._encode, parts))
             self.place = np.concatenate((self.place, len(self.same) + np.arange(len(new))))
             self.key = np.concatenate((self.key, named))
@@ -243,10 +261,10 @@ class Aligner:
         return np.repeat(owner, size), pairs
 
     def tokens(self, n: int, place: np.ndarray, owner: np.ndarray):
-        """For A and B: ids, and the positions of the n texts' bounds in them."""
+        """For A and B: ids, and the positions in them of the n texts' and of the chunks' bounds."""
         for flat in (self.ids_a, self.ids_b):
             ids, size = flat.take(place)
-            yield ids, np.concatenate(([0], np.cumsum(np.bincount(owner, size, n).astype(np.int64))))
+            yield ids, *(np.concatenate(([0], np.cumsum(x))) for x in (np.bincount(owner, size, n).astype(np.int64), size))
 
 
 def _leap(ends_a: np.ndarray, ends_b: np.ndarray, at: np.ndarray, ahead: bool):
@@ -269,7 +287,8 @@ def _leap(ends_a: np.ndarray, ends_b: np.ndarray, at: np.ndarray, ahead: bool):
 
 def shared_cuts(ends_a: np.ndarray, ends_b: np.ndarray, bounds_a: np.ndarray, bounds_b: np.ndarray):
     """Positions in ends_a and ends_b (both start with 0, and rise) of all shared cuts, in
-    order, without the first; ``bounds`` are the positions of the texts' bounds."""
+    order, without the first; ``bounds`` are positions of shared cuts to start from, those of
+    the texts or of their chunks."""
     lo_a, hi_a, lo_b, hi_b = bounds_a[:-1], bounds_a[1:], bounds_b[:-1], bounds_b[1:]
     some = hi_a > lo_a
     found_a, found_b = [hi_a[some]], [hi_b[some]]
@@ -413,12 +432,12 @@ def align(docs: DataFrame, byte_level: str, piece: str, frequent: int | None = N
         aligner = _aligner(a, b)
         out = []
         for _, size, place, chunk_of in aligner.chunks(texts):
-            (ids_a, bounds_a), (ids_b, bounds_b) = aligner.tokens(size, place, chunk_of)
+            (ids_a, bounds_a, chunks_a), (ids_b, bounds_b, chunks_b) = aligner.tokens(size, place, chunk_of)
             owner, key = aligner.linked(size, place, chunk_of)
             n_links = np.bincount(owner, minlength=size)
             ends_a = np.concatenate(([0], np.cumsum(aligner.length_a[ids_a])))
             ends_b = np.concatenate(([0], np.cumsum(aligner.length_b[ids_b])))
-            cuts_a, cuts_b = shared_cuts(ends_a, ends_b, bounds_a, bounds_b)
+            cuts_a, cuts_b = shared_cuts(ends_a, ends_b, chunks_a, chunks_b)
             upto = np.searchsorted(cuts_a, bounds_a, side="right")  # groups that end by each bound
             last = np.zeros(len(cuts_a), bool)
             last[upto[1:][np.diff(upto) > 0] - 1] = True

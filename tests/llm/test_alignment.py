@@ -91,7 +91,7 @@ def aligner():
 def tokens(aligner, texts):
     out = []
     for _, n, place, owner in aligner.chunks(pa.array(texts, pa.string())):
-        (a, at_a), (b, at_b) = aligner.tokens(n, place, owner)
+        (a, at_a, _), (b, at_b, _) = aligner.tokens(n, place, owner)
         out += [(a[at_a[i]:at_a[i + 1]].tolist(), b[at_b[i]:at_b[i + 1]].tolist()) for i in range(n)]
     return out
 
@@ -105,6 +105,21 @@ def test_chunks_have_the_tokens_of_whole_texts(models, aligner, own):
         assert got == (([], []) if want is None else want[:2])
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.one_of(st.sampled_from(" \t\n\r\x0b\x1c\x85\xa0'srelmtvd19.,!\xad²½ªµ"), st.characters(max_codepoint=0x24F, codec="utf-8")), min_size=1, max_size=60))
+def test_ranks_and_merges_agree_on_latin_text(models, aligner, text):
+    assert aligner.a.ranked is not None
+    assert aligner.a.encode(" " + text) == models[0].encode(" " + text, add_special_tokens=False).ids
+
+
+def test_long_runs(models, aligner):
+    """Runs of blanks that the faster library's regex cannot take at once."""
+    own = ["a" + " " * 300_000 + "b", "\n" * 400_000, "é" * 100_000]
+    for text, got in zip(own, tokens(aligner, own)):
+        want = whole(models, text)
+        assert got == (([], []) if want is None else want[:2])
+
+
 def test_vocabularies_that_cut_nowhere(models, texts):
     with open(A_FILE, "rb") as a, open(B_FILE, "rb") as b:
         aligner = L.Aligner(L.ByteLevel(a.read()), L.Pieces(b.read()))
