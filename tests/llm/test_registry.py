@@ -10,7 +10,7 @@ ROOT = os.path.dirname(os.path.abspath(__spark_entry__.__file__))
 
 def test_one_query_for_each_operator():
     names = list(__spark_entry__.queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names
     assert {x for x in __spark_entry__.oracle_sql() if x.startswith("op")} == {"op1_mix_sources", "op3_decontaminate", "op4_drop_common_lines"}
