@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("vote_queries", "model_queries", "draws_queries", "fit_queries", "source_queries")
+_MODULES = ("vote_queries", "model_queries", "draws_queries", "fit_queries", "dims_queries", "source_queries")
 
 
 def _load():
