@@ -5,7 +5,8 @@ address, the given name and the surname of a person, the digits of a number).  E
 are one entity throughout the corpus, whatever their case or separators, so one table of
 distinct entities gives each a surrogate derived from a secret key.  A surrogate has the type
 of the original: digits for digits, letters of the same script for letters, a given name of
-the same gender, valid octets, a card number with a valid check digit if the original's is.
+the same gender, valid octets, a card number or IBAN with valid check digits if the original's
+are.  Given names beyond the listed ones are made up with an ending of the gender.
 Surrogates that two entities share, or that equal an entity of the corpus, are drawn again
 until all are distinct; after some attempts they grow, so a form with too few values ends too.
 """
@@ -39,6 +40,9 @@ SYLLABLES = {
     "cyrillic": ("ба", "во", "га", "де", "жа", "за", "ка", "ле", "ма", "но", "па", "ро", "са", "та", "фе", "ши"),
     "greek": ("βα", "γο", "δε", "κα", "λο", "μα", "νο", "πα", "ρο", "σα", "τα", "φο", "χα"),
 }
+#: Endings of made given names, which keep the gender once the listed names are taken.
+MALE_ENDINGS = {"latin": ("bert", "mund", "rick", "ton"), "cyrillic": ("бор", "мир", "слав"), "greek": ("ης", "ιος", "ος")}
+FEMALE_ENDINGS = {"latin": ("etta", "issa", "lina", "rina"), "cyrillic": ("ина", "мира", "слава"), "greek": ("ία", "ινα", "ούλα")}
 LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -61,6 +65,8 @@ SIEVE = rf"@|[0-9][0-9.()\x20-]{{5}}|(?:{_TITLES}|{_GIVEN})\.?\x20"
 BLOCKS = 4
 #: From this attempt on a surrogate is longer than its original, by one more character each time.
 WIDEN = 8
+#: Listed given names are drawn in so many attempts.
+LISTED = 4
 
 
 def _script(text):
@@ -108,6 +114,13 @@ def _luhn(digits):
         F.when(c.cast("int") > 4, 2 * c.cast("int") - 9).otherwise(2 * c.cast("int")))), F.lit(0), lambda a, x: a + x)
 
 
+def _mod97(text):
+    """Remainder by 97 of the number that a text spells, A to Z as 10 to 35."""
+    code = lambda c: F.when(c.rlike("^[0-9]$"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    chars = F.filter(F.split(text, "", -1), lambda c: c != "")
+    return F.aggregate(F.transform(chars, code), F.lit(0), lambda a, x: (a * F.when(x > 9, 100).otherwise(10) + x) % 97)
+
+
 def _surrogate(key: str):
     """Column over (type, norm, attempt): the surrogate, in the form of norm."""
     norm, attempt = F.col("norm"), F.col("attempt")
@@ -136,11 +149,17 @@ def _surrogate(key: str):
     def pick(values):
         return F.element_at(F.array(*[F.lit(v) for v in values]), 1 + byte(F.lit(0)) % len(values))
 
+    def joined(script, n):
+        syllables = F.array(*[F.lit(s) for s in SYLLABLES[script]])
+        return F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.element_at(syllables, 1 + byte(i) % len(SYLLABLES[script]))), "")
+
     def made(script):
         """A new name; more syllables with every attempt, so there are always enough."""
-        syllables = F.array(*[F.lit(s) for s in SYLLABLES[script]])
-        return F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), attempt + 3), lambda i: F.element_at(
-            syllables, 1 + byte(i) % len(SYLLABLES[script]))), ""))
+        return F.initcap(joined(script, attempt + 3))
+
+    def gendered(script, endings):
+        """A new given name whose ending tells the gender, a syllable longer with every attempt."""
+        return F.initcap(F.concat(joined(script, F.greatest(attempt - LISTED + 2, F.lit(2))), pick(endings[script])))
 
     def by_script(f):
         script = _script(norm)
@@ -148,8 +167,10 @@ def _surrogate(key: str):
 
     def given(script):
         names = {"m": MALE_NAMES[script], "f": FEMALE_NAMES[script], "n": MALE_NAMES[script] + FEMALE_NAMES[script]}
-        listed = F.when(F.col("type") == "given_m", pick(names["m"])).when(F.col("type") == "given_f", pick(names["f"])).otherwise(pick(names["n"]))
-        return F.when(attempt < 4, listed).otherwise(made(script))
+        is_m, is_f = F.col("type") == "given_m", F.col("type") == "given_f"
+        listed = F.when(is_m, pick(names["m"])).when(is_f, pick(names["f"])).otherwise(pick(names["n"]))
+        return (F.when(attempt < LISTED, listed).when(is_m, gendered(script, MALE_ENDINGS))
+                .when(is_f, gendered(script, FEMALE_ENDINGS)).otherwise(made(script)))
 
     card = renew(norm, 1)
     body = F.concat(F.substring(card, F.lit(1), F.length(norm) - 1), wider(norm, "0123456789"))
@@ -160,9 +181,13 @@ def _surrogate(key: str):
     top = F.concat(F.lit("."), F.substring_index(domain, ".", -1))
     labels = F.substring(domain, F.lit(1), F.length(domain) - F.length(top))
     letters, digits = LETTERS["latin"], "0123456789"
+    country, account = F.substring(norm, 1, 2), F.concat(renew(F.substring(norm, F.lit(5), F.length(norm))), wider(norm, digits))
+    valid = _mod97(F.concat(F.substring(norm, F.lit(5), F.length(norm)), F.substring(norm, 1, 4))) == 1
+    pair = F.lpad((98 - _mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0")
     value = (F.when(F.col("type") == "email", F.concat(renew(local), wider(local, letters), F.lit("@"), F.substring_index(norm, "@", -1)))
              .when(F.col("type") == "domain", F.concat(renew(labels), wider(labels, letters), top))
-             .when(F.col("type") == "iban", F.concat(renew(norm, 2), wider(norm, digits)))
+             .when(F.col("type") == "iban", F.when(valid, F.concat(country, pair, account))
+                   .otherwise(F.concat(renew(norm, 2), wider(norm, digits))))
              .when(F.col("type") == "ip", F.concat(octets, more_octets))
              .when(F.col("type") == "ssn", F.concat(renew(norm), wider(norm, digits)))
              .when(F.col("type") == "card", F.when(_luhn(norm) % 10 == 0, F.concat(body, check)).otherwise(F.concat(card, wider(norm, digits))))
@@ -241,7 +266,7 @@ def replace_pii(docs: DataFrame, key: str) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("j", "new"))), lambda x: x["new"]), "").alias("new"))
     per_doc = settle(mention.groupBy("doc_id", "tkey").agg(F.transform(
         F.sort_array(F.collect_list(F.struct("i", "new"))), lambda x: x["new"]).alias("new")))
-    joined = join_rows(base, broadcast_if_small(per_doc, F.size("new") * 48 + 64), "left")
+    joined = join_rows(base, broadcast_if_small(per_doc, F.length(F.array_join("new", "")) * 4 + F.size("new") * 16 + 64), "left")
     # the text between the mentions, each part followed by the surrogate of the next mention
     text = F.array_join(F.zip_with(F.split("text", PATTERN, -1), F.concat("new", F.array(F.lit(""))), lambda gap, new: F.concat(gap, new)), "")
     return unpack(joined, docs, text=F.when(F.col("new").isNull(), F.col("text")).otherwise(text),

@@ -101,3 +101,31 @@ def test_longer_surrogates_of_numbers_keep_their_form(spark):
     assert re.fullmatch(r"1\d{12}", new["phone"]) and re.fullmatch(r"DE\d{22}", new["iban"]) and re.fullmatch(r"\d+(\.\d+){5}", new["ip"])
     raw = spark.createDataFrame([("ssn", "123-45-6789", "99988777766")], "type string, raw string, s string")
     assert raw.select(pii._in_form_of(raw["raw"], raw["type"], raw["s"])).first()[0] == "999-88-777766"
+
+
+def _remainder(iban):
+    turned = iban[4:] + iban[:4]
+    return int("".join(str(int(c, 36)) for c in turned)) % 97
+
+
+def test_check_digits_of_ibans(spark):
+    """Valid ones stay valid, with their country and spacing; others only keep their form."""
+    texts = ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "DE88 3704 0044 0532 0130 00"]
+    assert [_remainder(t.replace(" ", "")) for t in texts] == [1, 1, 0]
+    got = [run(spark, texts)[i][0] for i in range(3)]
+    assert [_remainder(t.replace(" ", "")) for t in got[:2]] == [1, 1]
+    assert all(re.fullmatch(p, t) for p, t in zip((r"DE\d\d( \d{4}){4} \d\d", r"GB\d\d[A-Z]{4}\d{14}", r"DE\d\d( \d{4}){4} \d\d"), got))
+    assert not set(got) & set(texts)
+
+
+def test_many_given_names_keep_their_gender(spark):
+    """More distinct names than are listed: made ones end as their gender does."""
+    latin = [a + b for a in ("ala", "beri", "coro", "dunu", "filo") for b in ("na", "ra", "sel", "tin", "vor", "kel")]
+    cyrillic = [a + b for a in ("бар", "вел", "гор") for b in ("на", "рик", "тан", "вор", "мил")]
+    rows = [(t, n) for n in latin + cyrillic for t in ("given_f", "given_m")]
+    got = pii.assign(spark.createDataFrame(rows, "type string, norm string"), "k").collect()
+    assert len(got) == len(rows) and len({r.surrogate.lower() for r in got}) == len(rows)
+    for r in got:
+        listed, ends = ((pii.FEMALE_NAMES, pii.FEMALE_ENDINGS) if r.type == "given_f" else (pii.MALE_NAMES, pii.MALE_ENDINGS))
+        script = "latin" if r.norm in latin else "cyrillic"
+        assert r.surrogate in listed[script] or r.surrogate.endswith(ends[script])
