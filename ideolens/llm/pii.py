@@ -65,6 +65,9 @@ SIEVE = rf"@|[0-9][0-9.()\x20-]{{5}}|(?:{_TITLES}|{_GIVEN})\.?\x20"
 BLOCKS = 4
 #: From this attempt on a surrogate is longer than its original, by one more character each time.
 WIDEN = 8
+#: IP addresses stay four octets for so many attempts; more are needed only if the addresses of a
+#: corpus and their surrogates take nearly all that there are.
+WIDEN_IP = 64
 #: Listed given names are drawn in so many attempts.
 LISTED = 4
 
@@ -140,9 +143,9 @@ def _surrogate(key: str):
                             .when(c.rlike("^[a-z]$"), letter(c, i, LETTERS["latin"]))
                             .when(c.rlike("^[A-Z]$"), letter(c, i, LETTERS["latin"].upper())).otherwise(c)), "")
 
-    def wider(text, letters):
+    def wider(text, letters, first=WIDEN):
         """Further characters, from the first attempt on for a text without letters and digits."""
-        n = F.when(text.rlike("[0-9A-Za-z]"), attempt - (WIDEN - 1)).otherwise(attempt + 1)
+        n = F.when(text.rlike("[0-9A-Za-z]"), attempt - (first - 1)).otherwise(attempt + 1)
         return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: letter(
             None, i + F.length(text), letters)), "")).otherwise("")
 
@@ -176,7 +179,7 @@ def _surrogate(key: str):
     body = F.concat(F.substring(card, F.lit(1), F.length(norm) - 1), wider(norm, "0123456789"))
     check = ((10 - _luhn(F.concat(body, F.lit("0"))) % 10) % 10).cast("string")
     octets = F.concat_ws(".", *[(1 + byte(F.lit(i)) % 254).cast("string") for i in range(4)])
-    more_octets = F.regexp_replace(wider(norm, "123456789"), "(.)", r".$1")
+    more_octets = F.regexp_replace(wider(norm, "123456789", WIDEN_IP), "(.)", r".$1")
     local, domain = F.substring_index(norm, "@", 1), F.col("norm")
     top = F.concat(F.lit("."), F.substring_index(domain, ".", -1))
     labels = F.substring(domain, F.lit(1), F.length(domain) - F.length(top))
