@@ -20,16 +20,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ideolens.llm import words as W
-from ideolens.llm.rows import pack, settle, short_batches, unpack
+from ideolens.llm.rows import broadcast_if_small, pack, settle, short_batches, text_key, unpack
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Word starts of so many bytes are features beside whole words.
 STARTS = (4, 5, 6)
-#: Bounds of the training sample: confirmed toxic rows, unlabelled rows.
+#: Bounds of the training sample: confirmed toxic rows, unlabelled rows (about so many; of
+#: repeated rows with one id and text there is one).
 MAX_TOXIC, MAX_UNLABELLED = 5_000, 10_000
-#: Bounds of the model: features kept, rows of P that must have one, least z value.
-MAX_FEATURES, MIN_ROWS, MIN_Z = 8_192, 3, 3.5
+#: Rows of P that must have a feature of the model, least z value.  All features of the sample
+#: that meet both are kept.
+MIN_ROWS, MIN_Z = 3, 3.5
 #: Share of toxic documents if no labelled row tells it.
 DEFAULT_PRIOR = 0.05
 
@@ -111,18 +113,20 @@ def fit_nnpu(rows_p, cols_p, n_p, rows_u, cols_u, n_u, start, prior, steps=400,
     return w[:k], float(w[k])
 
 
-def _sample(ids: DataFrame, n: int) -> DataFrame:
-    """About n rows of ids, by a hash of the id; all if there are fewer."""
-    total = ids.count()
+def _sample(keys: DataFrame, n: int) -> DataFrame:
+    """About n rows of the distinct keys (doc_id, tkey), by their hash; all if there are fewer."""
+    total = keys.count()
     share = int(min(1.0, n / max(total, 1)) * (1 << 30))
-    return ids.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) < share)
+    return keys.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "tkey"), F.lit(1 << 30)) < share)
 
 
 def train(docs: DataFrame, labels: DataFrame, usable=None) -> Model:
     """Fit on documents whose id passes ``usable`` (a column over doc_id; all if None).
 
-    P: rows of labels with toxic = 1, at most about MAX_TOXIC; U: documents whatever their
-    label, at most about MAX_UNLABELLED, so that toxic ones are among them as among all text.
+    P: documents labelled toxic = 1, at most about MAX_TOXIC rows; U: documents whatever their
+    label, at most about MAX_UNLABELLED rows, so that toxic ones are among them as among all
+    text.  Rows are drawn by a hash of (doc_id, text), repeated ones once, so a frequent id has
+    the weight of its different texts only.
     The prior is the share of toxic rows among the labelled ones.  Several labels of one id
     count as the largest; labels without id, value or document are ignored."""
     usable = F.lit(True) if usable is None else usable
@@ -130,9 +134,10 @@ def train(docs: DataFrame, labels: DataFrame, usable=None) -> Model:
                    .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     seen = marks.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
     prior = min(max((seen["t"] or 0) / seen["n"], 0.001), 0.5) if seen["n"] else DEFAULT_PRIOR
-    ids = settle(docs.select("doc_id").where(F.col("doc_id").isNotNull() & usable).distinct())
-    chosen = settle(_sample(marks.where("toxic = 1").select("doc_id"), MAX_TOXIC).withColumn("positive", F.lit(1))
-                    .unionByName(_sample(ids, MAX_UNLABELLED).withColumn("positive", F.lit(0))))
+    keys = settle(docs.where(F.col("doc_id").isNotNull() & usable).select("doc_id", text_key().alias("tkey")).distinct())
+    toxic = keys.join(broadcast_if_small(settle(marks.where("toxic = 1").select("doc_id")), 16), "doc_id", "left_semi")
+    chosen = settle(_sample(settle(toxic), MAX_TOXIC).withColumn("positive", F.lit(1))
+                    .unionByName(_sample(keys, MAX_UNLABELLED).withColumn("positive", F.lit(0))))
 
     def extract(batches):
         for batch in batches:
@@ -141,8 +146,9 @@ def train(docs: DataFrame, labels: DataFrame, usable=None) -> Model:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, end - at), W.lists(W.per_text(owner, end - at), W.signed(h))], ["positive", "h"])
 
-    # chosen is bounded by MAX_TOXIC and MAX_UNLABELLED
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # chosen is bounded by MAX_TOXIC and MAX_UNLABELLED, its texts too once repeated rows are one
+    texts = (docs.select("doc_id", "text", text_key().alias("tkey")).join(F.broadcast(chosen), ["doc_id", "tkey"])
+             .dropDuplicates(["positive", "doc_id", "tkey"]))
     rows = settle(texts.select("positive", "text").mapInArrow(extract, "positive int, h array<long>"))
     size = rows.agg(F.sum("positive").alias("p"), F.sum(1 - F.col("positive")).alias("u")).first()
     n_p, n_u = size["p"] or 0, size["u"] or 0
@@ -155,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, usable=None) -> Model:
     kept = (rows.select("positive", F.explode("h").alias("h")).groupBy("h")
             .agg(F.sum("positive").alias("p"), F.sum(1 - F.col("positive")).alias("u"))
             .where(F.col("p") >= MIN_ROWS).select("h", z.alias("z"), F.log(p / u).alias("odds")).where(F.col("z") >= MIN_Z)
-            .orderBy(F.desc("z"), "h").limit(MAX_FEATURES).toPandas())
+            .toPandas())
     if not len(kept):
         return nothing
     hashes = kept["h"].to_numpy(np.int64).view(np.uint64)

@@ -66,3 +66,21 @@ def test_repeated_rows_score_alike(spark, prose):
     frame = spark.createDataFrame(docs + docs[:20], "doc_id long, text string")
     out = T.score(frame, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
     assert len(out) == 220 and len({(r["doc_id"], r["score"]) for r in out}) == 200
+
+
+def test_a_hot_row_or_id_does_not_fill_the_sample(spark, prose, monkeypatch):
+    """Copies of one row leave the model as it is; an id with many texts gives the sample no
+    more rows than its bounds."""
+    docs, labels = corpus(spark, prose, 300)
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    hot = next(i for i, t in labels if t)
+    once, often = (T.train(spark.createDataFrame(d, "doc_id long, text string"), marks) for d in (docs, docs + [docs[hot]] * 400))
+    assert len(once.hashes) and (once.hashes == often.hashes).all() and np.allclose(once.weights, often.weights, atol=1e-6)
+    monkeypatch.setattr(T, "MAX_TOXIC", 60)
+    monkeypatch.setattr(T, "MAX_UNLABELLED", 120)
+    sizes = []
+    fit = T.fit_nnpu
+    monkeypatch.setattr(T, "fit_nnpu", lambda *a: sizes.append((a[2], a[5])) or fit(*a))
+    many = docs + [(hot, docs[hot][1] + f" tail{i}") for i in range(600)]
+    T.train(spark.createDataFrame(many, "doc_id long, text string"), marks)
+    assert 30 < sizes[0][0] < 100 and 70 < sizes[0][1] < 180
