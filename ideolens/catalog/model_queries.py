@@ -11,6 +11,7 @@ from ..functions import text as tx
 from ..functions.arrays import student_t_lpdf_value
 from ..operators import encode as E
 from ..plans import model as M
+from ..session import cut_lineage
 from . import inputs as I
 from .inputs import round_doubles, with_ctes
 
@@ -147,12 +148,13 @@ _GROUPS_EXTRA["pv"] = (_vote_sql(_SLOPE, "galpha", "params", "glong", "v.n_group
 
 @q("loglik_grouped", with_ctes(_LL_FINAL, "params", extra=_GROUPS_EXTRA))
 def loglik_grouped(spark, d):
-    data = I.all_valid(spark, d)
-    ids = E.candidate_ids(data, "democrat")
-    groups = E.ballot_groups_long(E.ballot_groups(data))
-    gv = groups.join(ids, ["race", "candidate"]).select(
+    data = cut_lineage(I.all_valid(spark, d))
+    ids = cut_lineage(E.candidate_ids(data, "democrat"))
+    groups = E.ballot_groups(data)
+    gv = E.ballot_groups_long(groups).join(ids, ["race", "candidate"]).select(
         F.col("group_id").alias("voter_id"), "race_id", "candidate_id", "n_group")
-    alpha = M.fixed_alpha(gv.select("voter_id").distinct())
+    # as many rows as there are distinct ballots: never broadcast by the size of their file
+    alpha = M.fixed_alpha(groups, "group_id").hint("merge")
     return round_doubles(M.loglik(gv, alpha, M.fixed_candidate_params(ids), M.SLOPE_INTERCEPT, "n_group"))
 
 
