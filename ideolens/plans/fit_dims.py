@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import hash_normal
 from ..session import BROADCAST_BYTES, cut_lineage, forget, keep_bucketed, scalar_row
+from . import ballots as B
 from . import fit as FT
 from . import joint as J
 from . import varimax as VX
@@ -375,6 +376,27 @@ def newton_rounds(votes, voters, params, d: int, scales, tol: float, most: int,
     return voters, params, history, done
 
 
+def _fit_ballots(v, ids, keys, d: int, scales, rounds: int, max_iter: int, tol: float, update_hyper: bool, seed: int, buckets: int, verbose: bool):
+    """The rounds of ``fit_map_dims`` on whole ballots: voters (voter_id, x), params (theta),
+    the scales, the history and whether it converged."""
+    cands = B.Candidates(keys, d)
+    spark = v.sparkSession
+    theta = cands.thetas({(r["race_id"], r["candidate_id"]): [0.0] * d + [r["diff"]] for r in FT.init_params(v, ids).collect()})
+    state = B.make(v, cands, [hash_normal(F.lit(seed), F.lit(k), F.col("voter_id")) for k in range(d)])
+    state, theta, scales, shift, sd, history = B.alternating_rounds(state, cands, theta, scales, rounds, update_hyper, verbose)
+    theta, at, converged, it = B.rescaled(theta, shift, sd), (0.0, shift, sd), False, len(history)
+    if it < max_iter:
+        state, theta, at, more, converged = B.newton_rounds(state, cands, theta, at, scales, tol, max_iter - it, verbose)
+        history += [{"iteration": it + k, "scales": scales, **h} for k, h in enumerate(more, 1)]
+    share, shift, sd = at
+    x = [(F.col(f"x{k}") + share * F.col(f"m{k}") - shift) / sd for k in range(d)]
+    voters = keep_bucketed(state.select("voter_id", F.array(*x, F.lit(-1.0)).alias("x")), "voter_id", buckets)
+    forget(state)
+    types = ", ".join(f"{n} {ids.schema[n].dataType.simpleString()}" for n in KEY)
+    params = cut_lineage(spark.createDataFrame([(*key, theta[cands.place[key]].tolist()) for key in cands.keys], f"{types}, theta array<double>"))
+    return voters, params, scales, history, converged
+
+
 def fit_map_dims(votes: DataFrame, ids: DataFrame, dims: int = 2, max_iter: int = 200, tol: float = 1e-3, mean_diff: float = 0.0,
                  sigma_diff: float = 2.0, sigma_disc: float = 1.0, update_hyper: bool = True, seed: int = 2139,
                  weight_col: str | None = None, right_voters: DataFrame | None = None, max_bytes: int = BROADCAST_BYTES,
@@ -390,31 +412,38 @@ def fit_map_dims(votes: DataFrame, ids: DataFrame, dims: int = 2, max_iter: int
         raise ValueError(f"dims must be 1 to {MAX_DIMS}")
     v = FT.prepare_votes(votes, weight_col)
     n = FT.buckets_of(votes)
-    voters, params = start(v, ids, d, seed)
-    voters, params = keep_bucketed(voters, "voter_id", n), cut_lineage(params)
-    spread = params.count() * (FT.CANDIDATE_BYTES + 16 * d) > max_bytes
     scales = (mean_diff, sigma_diff, sigma_disc)
     history, converged, it = [], False, 0
-    for it in range(1, min(FT.SCALE_ROUNDS if update_hyper else WARM_ROUNDS, max_iter) + 1):
-        new_voters, new_params = alternating_step(v, voters, params, d, scales, n, spread)
-        forget(voters, params)
-        voters, params = new_voters, new_params
-        a, p = _sums(voters, params, d)
-        sd = 1.0
-        if update_hyper:
-            scales = FT.update_scales(p, *scales, dims=d)
-            sd = min(max(((a["ss"] + a["var"]) / max(a["n"] * d, 1)) ** 0.5, 0.5), 2.0)
-        history.append({"iteration": it, "max_change": max(a["most"], p["most"]), "scales": scales, "sd": sd})
-        if verbose:
-            print(f"fit_map_dims {it}: change {history[-1]['max_change']:.5f}, scales {scales}, sd {sd:.5f}", flush=True)
-        new_voters, new_params = _turned(voters, params, d, np.eye(d), sd)
-        new_voters, new_params = keep_bucketed(new_voters, "voter_id", n), cut_lineage(new_params)
-        forget(voters, params)
-        voters, params = new_voters, new_params
-    if it < max_iter:
-        voters, params, more, converged = newton_rounds(v, voters, params, d, scales, tol, max_iter - it, n, spread, verbose)
-        history += [{"iteration": it + k, "scales": scales, **h} for k, h in enumerate(more, 1)]
-        it += len(more)
+    rounds = min(FT.SCALE_ROUNDS if update_hyper else WARM_ROUNDS, max_iter)
+    keys = FT.few_candidates(ids, d + 1, max_bytes)
+    spread = False
+    if keys:
+        voters, params, scales, history, converged = _fit_ballots(v, ids, keys, d, scales, rounds, max_iter, tol, update_hyper, seed, n, verbose)
+        it = len(history)
+    else:
+        voters, params = start(v, ids, d, seed)
+        voters, params = keep_bucketed(voters, "voter_id", n), cut_lineage(params)
+        spread = params.count() * (FT.CANDIDATE_BYTES + 16 * d) > max_bytes
+        for it in range(1, rounds + 1):
+            new_voters, new_params = alternating_step(v, voters, params, d, scales, n, spread)
+            forget(voters, params)
+            voters, params = new_voters, new_params
+            a, p = _sums(voters, params, d)
+            sd = 1.0
+            if update_hyper:
+                scales = FT.update_scales(p, *scales, dims=d)
+                sd = min(max(((a["ss"] + a["var"]) / max(a["n"] * d, 1)) ** 0.5, 0.5), 2.0)
+            history.append({"iteration": it, "max_change": max(a["most"], p["most"]), "scales": scales, "sd": sd})
+            if verbose:
+                print(f"fit_map_dims {it}: change {history[-1]['max_change']:.5f}, scales {scales}, sd {sd:.5f}", flush=True)
+            new_voters, new_params = _turned(voters, params, d, np.eye(d), sd)
+            new_voters, new_params = keep_bucketed(new_voters, "voter_id", n), cut_lineage(new_params)
+            forget(voters, params)
+            voters, params = new_voters, new_params
+        if it < max_iter:
+            voters, params, more, converged = newton_rounds(v, voters, params, d, scales, tol, max_iter - it, n, spread, verbose)
+            history += [{"iteration": it + k, "scales": scales, **h} for k, h in enumerate(more, 1)]
+            it += len(more)
     by = VX.rotation_of(params.where("candidate_id > 1").select(F.slice("theta", 1, d).alias("x")), d)
     turned, thetas = _turned(voters, params, d, by)
     if right_voters is not None:

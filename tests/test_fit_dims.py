@@ -151,3 +151,19 @@ def test_odd_votes(spark):
     assert none.alpha.count() == 0 and none.params.count() == 6
     with pytest.raises(ValueError):
         FD.fit_map_dims(votes, ids, 0)
+
+
+def test_ballots_and_tables_take_the_same_rounds(spark):
+    """Two alternating rounds by whole ballots and by tables (no bytes allowed for them), and
+    the joint rounds on ballots end at the mode in few jobs."""
+    votes, ids, _ = _simulate(spark, 60, 4)
+    a, b = (FD.fit_map_dims(votes, ids, max_iter=2, max_bytes=x) for x in (1 << 30, 0))
+    x, y = ({r.voter_id: r.alpha for r in f.alpha.collect()} for f in (a, b))
+    assert all(x[j] == pytest.approx(y[j], abs=1e-6) for j in y) and len(x) == 60
+    sc = spark.sparkContext
+    sc.setJobGroup("few jobs in dims", "fit")
+    try:
+        fit = FD.fit_map_dims(votes, ids, update_hyper=False, mean_diff=0.1, sigma_diff=1.5, sigma_disc=0.8)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert fit.converged and len(sc.statusTracker().getJobIdsForGroup("few jobs in dims")) <= 12 * fit.iterations + 60
