@@ -173,3 +173,24 @@ def test_group_quantiles_match_numpy_on_skewed_ties(spark):
         for k, p in probs.items():
             assert abs(got[g][k] - np.quantile(data, p)) < 1e-12, (g, k)
             assert abs(got[g][k] - exact[g][k]) < 1e-12, (g, k)
+
+
+def test_alignment_rounds_write_nothing(spark, monkeypatch):
+    """The same signs and rounds in one pass a round as by the tables, in few jobs; missing
+    values, draws and parameters included."""
+    rng = np.random.default_rng(5)
+    rows = [(m, i, float(v)) for m in range(60) for i, v in enumerate(rng.standard_normal(7)) if (m + i) % 11]
+    rows += [(100, 1, None), (None, 1, 2.0), (101, None, 1.0), (102, 2, None), (102, 3, -0.4)]
+    draws = spark.createDataFrame([(m, "disc", i, v) for m, i, v in rows], "draw long, variable string, idx long, value double")
+    sc = spark.sparkContext
+    sc.setJobGroup("alignment", "rounds")
+    try:
+        a, rounds, done = DR.align_signs(draws)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert done and rounds > 2 and len(sc.statusTracker().getJobIdsForGroup("alignment")) <= rounds + 12
+    monkeypatch.setattr(DR, "MOST_LOADINGS", 0)
+    b, *want = DR.align_signs(draws)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect())) and [rounds, done] == want
+    empty, *_ = DR.align_signs(draws.where("draw < 0"))
+    assert empty.count() == 0
