@@ -1,7 +1,9 @@
 """Hierarchical Pitman-Yor language model, sampled by Gibbs seating.
 
-A token is drawn in the restaurant of its context, the nearest common word before it in the
-text (one of the CONTEXTS most frequent training words); before the first common word it is
+``score`` has a restaurant for every preceding word, by the module ``context_restaurants``.
+The form with few contexts, which its callers may ask for by their number, is here: a
+token is drawn in the restaurant of its context, the nearest common word before it in the
+text (one of the most frequent training words); before the first common word it is
 drawn in the root.  All context restaurants share the root as their parent, whose base is
 uniform over the V training words and one class of unknown words.  A table of a context
 restaurant is a customer of the root.
@@ -32,9 +34,9 @@ from ideolens.llm.rows import discard, settle, short_batches
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: At most 15: the number of the context is the last four bits of a pair's key, the other 60
-#: are the hash of the word.
-CONTEXTS = 12
+#: Of the form with few contexts: the number of the context is the last four bits of a pair's
+#: key, the other 60 are the hash of the word.
+MOST_CONTEXTS = 15
 BURN_IN, SAMPLES = 1, 3
 STRENGTH = 1.0
 #: Tokens that a counting task holds before it counts them; words in a chunk of the state.
@@ -432,17 +434,25 @@ def held_out(fold: int = 7, of: int = 2):
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(fold)) == of, F.lit(False))
 
 
-def score(docs: DataFrame, contexts: int = CONTEXTS, limit: int = T.FREQUENT) -> DataFrame:
+def score(docs: DataFrame, contexts: int | None = None, limit: int = T.FREQUENT) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score (add-one unigram) and score (log10 probability of the text under the model).
 
+    Every preceding word is a context (``context_restaurants``).  With ``contexts``, only so
+    many most frequent words are, MOST_CONTEXTS at most, and ``limit`` bounds the rows that all tasks hold
+    of the model.
+
     Tokens are the words ``[^\\x20\\x09-\\x0D]+``, A-Z in lower case, and the end of the text.
     Rows that are held out are not learnt from.  Null and empty texts have the end as their
     only token; repeated rows count and score as documents of their own; very long texts are
     read whole; an empty table gives an empty result."""
     base = docs.select("doc_id", "text").withColumn("held_out", held_out())
     short_batches(docs)
-    common = common_words(base, min(contexts, 15))
+    if contexts is None:
+        from ideolens.llm import context_restaurants
+
+        return context_restaurants.score(base, BURN_IN, SAMPLES)
+    common = common_words(base, min(contexts, MOST_CONTEXTS))
     of = in_context(common)
     model, n, v = fit(_counts(base, of), len(common) + 1)
     base_log = lambda c: np.log10((c + 1) / (n + v + 1))
