@@ -47,7 +47,7 @@ SPREAD = 4
 # restaurant; REPLY and the number of the sweep).  To a part of words: what a part of pairs has
 # of them (words; training count, fixed and moving tables as second word, the same as first),
 # the places of these words, moving tables as second and first word after a sweep, and the
-# words (keys, training count, fixed tables as second and first word, tables in the root).
+# words (training count, fixed tables as second and first word).
 # To a block: log10 of the probability of its pairs, training counts of their second words.
 ASK, PAIRS, ASKED, CELLS, HAS, ROUTE, MOVED, WORDS, VALUE, REPLY = range(10)
 BLOBS = ("a", "b", "c", "d", "e", "f")
@@ -244,7 +244,7 @@ def first_words(part: int, rows):
         yield row(part, ROUTE, source, pack(at, ascending=True))
     c, second, first = sums[0], sums[1] + sums[3], sums[2] + sums[4]
     t_root = (second > 0).astype(np.int64)
-    yield row(part, WORDS, -1, pack(words, np.uint64, True), pack(c), pack(sums[1]), pack(sums[2]), pack(t_root),
+    yield row(part, WORDS, -1, pack(c), pack(sums[1]), pack(sums[2]),
               sums=(c.sum(), (c > 0).sum(), (second == 1).sum(), (second == 2).sum()))
     yield from replies(part, routes, 0, second, t_root, first, c)
 
@@ -260,14 +260,15 @@ def move_words(alpha: float, discount: float, sweep: int):
     """Sum the tables that the parts of pairs sent; seat the customers of the root again."""
     def run(part, rows):
         r = rows[WORDS][0]
-        words, c, second, first = unpack(r["a"], np.uint64, True), *(unpack(r[x]).astype(np.int64) for x in "bcd")
+        c, second, first = (unpack(r[x]).astype(np.int64) for x in "abc")
         routes = [(x["source"], unpack(x["a"], ascending=True)) for x in rows[ROUTE]]
         at = dict(routes)
         for x in rows[MOVED]:
             second[at[x["source"]]] += unpack(x["a"])
             first[at[x["source"]]] += unpack(x["b"])
-        t_root = draw_tables(W.mix(words), second, np.full(len(words), alpha), discount, 2 * sweep + 2)
-        yield row(part, WORDS, -1, *(r[x] for x in "abcd"), pack(t_root))
+        word = pair_key(np.array([part], np.uint64), np.arange(len(c), dtype=np.uint64))
+        t_root = draw_tables(word, second, np.full(len(c), alpha), discount, 2 * sweep + 2)
+        yield row(part, WORDS, -1, *(r[x] for x in "abc"))
         yield from replies(part, routes, sweep, second, t_root, first, c)
 
     return run
@@ -311,10 +312,10 @@ def move_cells(root: Root, sweep: int, sample: bool):
 
 
 def probabilities(rows, samples: dict):
-    """(words, first, second word and probability of every pair, training counts of the words)
-    of a part of pairs; ``samples``: the root by its sweep."""
+    """(first, second word and probability of every pair, training counts of the words) of a
+    part of pairs; ``samples``: the root by its sweep."""
     r, x = rows[PAIRS][0], rows[CELLS][0]
-    words, first, second, c = unpack(r["a"], np.uint64, True), unpack(r["b"], ascending=True), unpack(r["c"]), unpack(r["d"]).astype(np.float64)
+    first, second, c = unpack(r["b"], ascending=True), unpack(r["c"]), unpack(r["d"]).astype(np.float64)
     t = len(samples) * np.minimum(c, 1)
     t[c > 1] = unpack(x["d"]).astype(np.int64) + unpack(x["e"])
     mass = 0.0
@@ -322,12 +323,12 @@ def probabilities(rows, samples: dict):
         customers, t_root, tables, count = read_replies(rows[REPLY + sweep])
         mass = mass + (STRENGTH + root.discount * tables)[first] * root.of(customers, t_root)[second]
     p = (c - (root.discount * t - mass) / len(samples)) / (STRENGTH + count[first])
-    return words, first, second, p, count
+    return first, second, p, count
 
 
 def answer(samples: dict):
     def run(part, rows):
-        _, _, second, p, count = probabilities(rows, samples)
+        _, second, p, count = probabilities(rows, samples)
         p = np.log10(p)
         for r in rows[ASKED]:
             at = unpack(r["a"], ascending=True)
@@ -363,8 +364,11 @@ def fit(table: DataFrame, parts: int, word_parts: int, burn_in: int, samples: in
         new = settle(deal([kind(words, WORDS), kind(routes, ROUTE), kind(moved, MOVED)], move_words(root.alpha, root.discount_root, sweep + 1), word_parts))
         old.append(words)
         cells, words = moved, new
-    rows = [kind(pairs, PAIRS, ASKED), kind(cells, CELLS)] + [kind(x, REPLY + i) for i, x in enumerate([*old, words]) if i in kept]
-    return rows, kept, n, v, [pairs, cells, words, *old]
+    all_words = [*old, words]
+    for x in all_words[:burn_in]:
+        discard(x)
+    rows = [kind(pairs, PAIRS, ASKED), kind(cells, CELLS)] + [kind(all_words[i], REPLY + i) for i in kept]
+    return rows, kept, n, v, [pairs, cells, *all_words[burn_in:]]
 
 
 @contextmanager
@@ -386,6 +390,8 @@ def score(docs: DataFrame, burn_in: int, samples: int, held: int = HELD, pair_pa
         size, n_blocks = table.agg(F.sum("tokens"), F.count("*")).first()
         parts, word_parts = -(-(size or 0) // pair_part) or 1, -(-(size or 0) // word_part) or 1
         rows, roots, n, v, used = fit(table, parts, word_parts, burn_in, samples)
+        # the keys of the words are not needed any more
+        rows = [x.withColumn("a", F.when(F.col("kind") != PAIRS, F.col("a"))) for x in rows]
         values = settle(deal(rows, answer(roots), parts))
         for x in used:
             discard(x)

@@ -47,7 +47,8 @@ def test_pairs_are_whole_and_probabilities_sum_to_one(spark):
     assert len(parts) == 3 and len({r["source"] for x in parts.values() for r in x[C.ASKED]}) > 1
     mass, times = collections.Counter(), collections.Counter()
     for x in parts.values():
-        keys, first, second, p, _ = C.probabilities(x, roots)
+        keys = C.unpack(x[C.PAIRS][0]["a"], np.uint64, True)
+        first, _, p, _ = C.probabilities(x, roots)
         for a, y in zip(keys[first].tolist(), p.tolist()):
             mass[a] += y
         for a, c in zip(keys[first].tolist(), C.unpack(x[C.PAIRS][0]["d"]).tolist()):
