@@ -30,6 +30,7 @@ from . import ballots as B
 from . import fit as FT
 from . import joint as J
 from . import varimax as VX
+from .model import with_voters
 
 KEY = ["race_id", "candidate_id"]
 #: Largest dimension: the sums over votes are written out for each pair of dimensions.
@@ -139,7 +140,7 @@ pulls AS (SELECT *, {pull} AS pull FROM bends)"""
 
 
 def _met(votes: DataFrame, voters: DataFrame, arrays: DataFrame, spread: bool) -> DataFrame:
-    return FT.with_contest_arrays(votes.join(voters, "voter_id"), arrays, spread)
+    return FT.with_contest_arrays(with_voters(votes, voters), arrays, spread)
 
 
 def contest_thetas(params: DataFrame, direction: DataFrame | None = None, name: str = "dir") -> DataFrame:
