@@ -41,7 +41,7 @@ def test_many_voters_are_joined_by_sort_and_merge(spark, monkeypatch):
 
 
 #: Queries that join votes and voters, both far below the session's threshold here.
-BY_VOTER = ["loglik_2pl", "loglik_2pl_centered", "loglik_1pl", "bernoulli_probabilities", "fit_voter_step", "fit_dims_voter_step"]
+BY_VOTER = ["loglik_2pl", "loglik_2pl_centered", "loglik_1pl", "bernoulli_probabilities", "fit_voter_step", "fit_dims_voter_step", "fit_joint_product"]
 
 
 @pytest.mark.parametrize("name", BY_VOTER)
