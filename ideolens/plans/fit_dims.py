@@ -377,25 +377,23 @@ def newton_rounds(votes, voters, params, d: int, scales, tol: float, most: int,
     return voters, params, history, done
 
 
-def _fit_ballots(v, ids, keys, d: int, scales, rounds: int, max_iter: int, tol: float, update_hyper: bool, seed: int, buckets: int, verbose: bool):
-    """The rounds of ``fit_map_dims`` on whole ballots: voters (voter_id, x), params (theta),
+def _fit_ballots(v, ids, keys, d: int, scales, rounds: int, max_iter: int, tol: float, update_hyper: bool, seed: int, verbose: bool):
+    """The rounds of ``fit_map_dims`` on whole ballots: their state, the candidates and theta,
     the scales, the history and whether it converged."""
     cands = B.Candidates(keys, d)
-    spark = v.sparkSession
     theta = cands.thetas({(r["race_id"], r["candidate_id"]): [0.0] * d + [r["diff"]] for r in FT.init_params(v, ids).collect()})
     state = B.make(v, cands, [hash_normal(F.lit(seed), F.lit(k), F.col("voter_id")) for k in range(d)])
+    forget(v)
     state, theta, scales, shift, sd, history = B.alternating_rounds(state, cands, theta, scales, rounds, update_hyper, verbose)
     theta, at, converged, it = B.rescaled(theta, shift, sd), (0.0, shift, sd), False, len(history)
     if it < max_iter:
-        state, theta, at, more, converged = B.newton_rounds(state, cands, theta, at, scales, tol, max_iter - it, verbose)
+        state, theta, _, more, converged = B.newton_rounds(state, cands, theta, at, scales, tol, max_iter - it, verbose)
         history += [{"iteration": it + k, "scales": scales, **h} for k, h in enumerate(more, 1)]
-    share, shift, sd = at
-    x = [(F.col(f"x{k}") + share * F.col(f"m{k}") - shift) / sd for k in range(d)]
-    voters = keep_bucketed(state.select("voter_id", F.array(*x, F.lit(-1.0)).alias("x")), "voter_id", buckets)
-    forget(state)
-    types = ", ".join(f"{n} {ids.schema[n].dataType.simpleString()}" for n in KEY)
-    params = cut_lineage(spark.createDataFrame([(*key, theta[cands.place[key]].tolist()) for key in cands.keys], f"{types}, theta array<double>"))
-    return voters, params, scales, history, converged
+    else:
+        placed = B.positions(state, cands, theta, at)
+        forget(state)
+        state = placed
+    return state, cands, theta, scales, history, converged
 
 
 def fit_map_dims(votes: DataFrame, ids: DataFrame, dims: int = 2, max_iter: int = 200, tol: float = 1e-3, mean_diff: float = 0.0,
@@ -419,8 +417,11 @@ def fit_map_dims(votes: DataFrame, ids: DataFrame, dims: int = 2, max_iter: int
     keys = FT.few_candidates(ids, d + 1, max_bytes)
     spread = False
     if keys:
-        voters, params, scales, history, converged = _fit_ballots(v, ids, keys, d, scales, rounds, max_iter, tol, update_hyper, seed, n, verbose)
+        state, cands, theta, scales, history, converged = _fit_ballots(v, ids, keys, d, scales, rounds, max_iter, tol, update_hyper, seed, verbose)
         it = len(history)
+        voters = state.select("voter_id", F.array(*[f"x{k}" for k in range(d)], F.lit(-1.0)).alias("x"))
+        types = ", ".join(f"{n} {ids.schema[n].dataType.simpleString()}" for n in KEY)
+        params = cut_lineage(ids.sparkSession.createDataFrame([(*key, theta[cands.place[key]].tolist()) for key in cands.keys], f"{types}, theta array<double>"))
     else:
         voters, params = start(v, ids, d, seed)
         voters, params = keep_bucketed(voters, "voter_id", n), cut_lineage(params)
@@ -458,8 +459,16 @@ def fit_map_dims(votes: DataFrame, ids: DataFrame, dims: int = 2, max_iter: int
     by = by * np.where(np.array(sides) < 0, -1.0, 1.0)
     turned, thetas = _turned(voters, params, d, by)
     thetas = cut_lineage(thetas)
-    final = voter_system(v, turned, contest_thetas(thetas), d, spread)
-    alpha = cut_lineage(final.select("voter_id", F.slice("x", 1, d).alias("alpha"), F.expr(inverse_diagonal("chol", d)).alias("var")))
+    if keys:
+        # the ballots on the new axes: one more pass, for the variances there
+        theta[..., :d] = theta[..., :d] @ by
+        x = [" + ".join(f"x{i} * {float(by[i, k])!r}D" for i in range(d)) for k in range(d)]
+        final = B.positions(state.withColumns({f"x{k}": F.expr(e) for k, e in enumerate(x)}), cands, theta, (0.0, 0.0, 1.0))
+        alpha = cut_lineage(final.select("voter_id", *(F.array(*[f"{c}{k}" for k in range(d)]).alias(n) for c, n in (("x", "alpha"), ("v", "var")))))
+        forget(state, final)
+    else:
+        final = voter_system(v, turned, contest_thetas(thetas), d, spread)
+        alpha = cut_lineage(final.select("voter_id", F.slice("x", 1, d).alias("alpha"), F.expr(inverse_diagonal("chol", d)).alias("var")))
     out = cut_lineage(thetas.select(*KEY, F.slice("theta", 1, d).alias("disc"), F.col("theta")[d].alias("diff")))
     forget(v, voters, params, thetas)
     return DimsFit(alpha, out, history, *scales, it, converged)
